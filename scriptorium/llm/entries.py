@@ -18,6 +18,16 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit(docs.where(F.coalesce(~fold, F.lit(True))))
+    found = identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.mixing import schedule
 
@@ -31,6 +41,12 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell", "position")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
