@@ -47,6 +47,12 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell", "position")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.neardup import near_duplicates
 
