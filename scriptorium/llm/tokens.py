@@ -13,13 +13,16 @@ are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -183,34 +186,75 @@ def _sampled(plane: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(blocks)])
 
 
+#: Letters that may be cut from what follows: pre-tokens of a byte-level BPE never run from a letter into a non-letter.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A text may be cut at a space before a visible character.
+VISIBLE = re.compile(r"[!-~À-ÿ]")
+CUT = re.compile(r" (?=[!-~À-ÿ])")
+#: Chunks that fall into words, stops and line breaks; all others are encoded as they are.
+PLAIN = re.compile(rf" ?[{LETTER}]+[.,;:!?]*(?:\n[{LETTER}]+[.,;:!?]*)*\Z")
+STOPS = frozenset(".,;:!?")
+PIECE = re.compile(rf" ?[{LETTER}]+|[.,;:!?]+|\n")
+#: Marks a text's first chunk, which no space precedes.
+HEAD = "\x00"
+
+
 class ChunkIds(dict):
     """A chunk of text -> its ids as little-endian unsigned 32-bit bytes.
 
-    A space before a visible character always opens a new pre-token of a byte-level BPE, so a text's
-    ids are the concatenation of its chunks' ids. The bound keeps a worker's memory flat.
+    A space before a visible character always opens a new pre-token of a byte-level BPE, so a text's ids are the
+    concatenation of its chunks' ids; a key is a chunk without that space. Words and stops of plain chunks are pre-tokens of
+    their own, which go straight to the tokenizer's model. The bound keeps a worker's memory flat.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_500_000
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run one task a core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def learn(self, chunks: set[str]) -> None:
-        fresh = [c for c in chunks if c not in self]
-        if len(self) + len(fresh) > self.LIMIT:
+        self.model = self.tokenizer.model
+        # the byte alphabet, as the library itself spells each byte of a one-character text
+        spelled = {}
+        for c in map(chr, range(0x800)):
+            word = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0]
+            spelled.update(zip(c.encode(), word, strict=True))
+        self.spelling = {byte: ord(letter) for byte, letter in spelled.items()}
+
+    def word(self, key: str) -> bytes:
+        """Ids of one pre-token."""
+        text = key[1:] if key[0] == HEAD else " " + key
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.spelling))]).tobytes()
+
+    def learn(self, keys: list[str]) -> None:
+        fresh = [k for k in keys if k not in self]
+        if len(self) + 2 * len(fresh) > self.LIMIT:
             self.clear()
-            fresh = list(chunks)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[chunk] = np.asarray(e.ids, "<u4").tobytes()
+            fresh = keys
+        odd = []
+        for key in fresh:
+            if key.isalpha():
+                self[key] = self.word(key)
+            elif key[-1:] in STOPS and key[:-1].isalpha():
+                head = self.get(key[:-1]) or self.setdefault(key[:-1], self.word(key[:-1]))
+                self[key] = head + (self.get(HEAD + key[-1]) or self.setdefault(HEAD + key[-1], self.word(HEAD + key[-1])))
+            else:
+                text = key[1:] if key[:1] == HEAD else " " + key
+                if not PLAIN.match(text):
+                    odd.append((key, text))
+                    continue
+                parts = [x[1:] if x[0] == " " else HEAD + x for x in PIECE.findall(text)]
+                self[key] = b"".join([self.get(x) or self.setdefault(x, self.word(x)) for x in parts])
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
+            for (key, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                self[key] = array("I", e.ids).tobytes()
 
 
-CUT = re.compile(r" (?=[!-~])")
 _TOKENIZERS: dict[str, ChunkIds] = {}
 
 
@@ -221,14 +265,41 @@ def encoder(path: str) -> ChunkIds:
     return _TOKENIZERS[path]
 
 
-def encode_texts(texts: list[str], cache: ChunkIds) -> list[bytes]:
-    """Ids of each whole text as little-endian unsigned 32-bit bytes."""
-    split = []
-    for text in texts:
-        first, *rest = CUT.split(text)
-        split.append([first, *map(" ".__add__, rest)])
-    cache.learn({c for chunks in split for c in chunks})
-    return [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
+def encode_texts(texts: pa.Array, cache: ChunkIds) -> list[np.ndarray]:
+    """Ids of each whole text (null: none). Chunks are split and numbered by Arrow; Python sees each distinct one once."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+    todo = [(np.arange(len(texts)), pc.split_pattern(texts, " "))]
+    while todo:
+        rows, split = todo.pop()
+        if not len(rows):
+            continue
+        starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
+        flat = split.flatten()
+        coded = flat.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        codes[starts] = len(distinct) + np.arange(len(starts))
+        # a chunk that no visible character begins was cut where a text can't be: its text is cut again, with more care
+        uncut = np.zeros(len(distinct) + len(starts), bool)
+        uncut[: len(distinct)] = [not VISIBLE.match(k) for k in distinct]
+        if uncut.any() and (again := np.logical_or.reduceat(uncut[codes], starts)).any():
+            redo, fine = np.flatnonzero(again), np.flatnonzero(~again)
+            careful = pa.array([CUT.split(t) for t in texts.take(pa.array(rows[redo])).to_pylist()], pa.large_list(pa.large_string()))
+            todo += [(rows[redo], careful), (rows[fine], split.take(pa.array(fine)))]
+            continue
+        keys = distinct + [HEAD + t for t in flat.take(pa.array(starts)).to_pylist()]
+        cache.learn(keys)
+        values = list(map(cache.__getitem__, keys))
+        ids = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        at = (np.cumsum(sizes) - sizes)[codes]
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        found = ids[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]))]
+        edges = np.r_[(ends - n)[starts], len(found)]
+        for row, a, b in zip(rows.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[row] = found[a:b]
+    return out
 
 
 FILE_SCHEMA = "part int, seg int, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
@@ -236,23 +307,22 @@ FILE_SCHEMA = "part int, seg int, n_ids long, doc_ids array<long>, lengths array
 
 def _write_segments(source: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     cache = encoder(path)
-    end = struct.pack("<I", end_id)
+    end = np.array([end_id], "<u4")
     docs: list[int | None] = []
-    held: list[bytes] = []
+    held: list[np.ndarray] = []
     total, seg, part = 0, 0, 0
 
     def segment() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(held), "<u4")
-        row = {"part": [part], "seg": [seg], "n_ids": [len(ids)], "doc_ids": [docs], "lengths": [[len(x) // 4 for x in held]], "payload": [WaveletMatrix.build(ids).to_bytes()]}
+        ids = np.concatenate(held)
+        row = {"part": [part], "seg": [seg], "n_ids": [len(ids)], "doc_ids": [docs], "lengths": [[len(x) for x in held]], "payload": [WaveletMatrix.build(ids).to_bytes()]}
         kinds = {"part": pa.int32(), "seg": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in kinds.items()], list(kinds))
 
-    for rows in batches(source, 2 << 20):
-        texts = [t or "" for t in rows.column("text").to_pylist()]
-        for doc, one, part in zip(rows.column("doc_id").to_pylist(), encode_texts(texts, cache), rows.column("part").to_pylist(), strict=True):  # noqa: B020
+    for rows in batches(source, 10 << 20):
+        for doc, one, part in zip(rows.column("doc_id").to_pylist(), encode_texts(rows.column("text").combine_chunks(), cache), rows.column("part").to_pylist(), strict=True):  # noqa: B020
             docs.append(doc)
-            held.append(one + end)
-            total += len(one) // 4 + 1
+            held.append(np.concatenate([one, end]))
+            total += len(one) + 1
             if total >= SEGMENT_IDS:
                 yield segment()
                 docs, held, total, seg = [], [], 0, seg + 1
