@@ -60,7 +60,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     """
     narrow = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     n = narrow.count()
-    buckets = max(16, -(-n // BUCKET_ROWS))
+    buckets = max(128, -(-n // BUCKET_ROWS))
     hashed = narrow.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
     sums = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
