@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from scriptorium.session import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
