@@ -7,7 +7,8 @@ coordinate with the probability of their similarity, with the concentration of i
 
 Documents with equal sets form a class. Classes that share a band's coordinates are candidates. Candidates are first compared
 with a few pivots of their buckets, in rounds, each followed by connected components; then every pair that still shares a
-bucket across components is compared. Nothing is enumerated within a component, so groups of any size stay linear.
+bucket across components is compared. Pairs are listed within small buckets only; crowds are compared in the cells of a grid, which report
+links alone, and nothing is compared within a component.
 All links rest on whole shingle sets.
 
 Null, empty and wordless texts have the empty set and link with nothing. A null ``doc_id`` links with nothing and is its own (null)
@@ -34,8 +35,8 @@ BANDS, ROWS = 40, 6
 AT_ONCE = 1600
 #: Ids whose list may be broadcast (8 bytes each); beyond it the texts are gathered by a shuffled join.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket in different components above which a pair must share a second bucket to be compared.
-WIDE_BUCKET = 64
+#: Members above which a bucket that still holds several components is compared in cells of about CELL members a side.
+WIDE_BUCKET, CELL = 32, 256
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -131,6 +132,55 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(now.join(spread, "key", "left_semi"), "buckets")
 
 
+def _cell_links(percent: int):
+    """Links between the minority and the rest in one cell of a crowd's grid; for each minority member one a component will do."""
+
+    def apply(cell: pa.Table) -> pa.Table:
+        ids, comps, minor = (cell.column(c).to_numpy() for c in ("id", "comp", "minor"))
+        sets = [shingle_set(t) for t in raw_texts(cell.column("text").combine_chunks())]
+        rest = np.flatnonzero(~minor)
+        out: list[tuple[int, int]] = []
+        if len(rest) and minor.any():
+            owner = np.repeat(np.arange(len(rest)), [len(sets[i]) for i in rest])
+            values = np.concatenate([sets[i] for i in rest])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            sizes = np.array([len(sets[i]) for i in rest])
+            for m in np.flatnonzero(minor).tolist():
+                lo, hi = np.searchsorted(values, sets[m], "left"), np.searchsorted(values, sets[m], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[at], minlength=len(rest))
+                linked = (common > 0) & (100 * common >= percent * (len(sets[m]) + sizes - common)) & (comps[rest] != comps[m])
+                found = rest[linked]
+                _, first = np.unique(comps[found], return_index=True)
+                out += [(min(ids[m], ids[i]), max(ids[m], ids[i])) for i in found[first].tolist()]
+        return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
+
+    return apply
+
+
+def _crowd_links(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside wide buckets, without listing pairs.
+
+    Members that share wide buckets, directly or through others, form a crowd. All but its largest component are compared with the
+    whole crowd, in cells of a grid of hashed parts of both sides, so that a cell stays small whatever the crowd's size.
+    """
+    spans = crowd.groupBy("key").agg(F.min("id").alias("b"))
+    crowds = components(crowd.join(spans, "key").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "crowd")
+    rows = materialize(crowd.select("id", "comp").distinct().join(crowds, "id"), "crowds")
+    sizes = rows.groupBy("crowd", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("crowd").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    parts = lambda n: F.ceil(n / CELL).cast("int")
+    sizes = sizes.select("crowd", F.col("top.comp").alias("main"), parts(F.col("all")).alias("columns"), parts(F.col("all") - F.col("top.n")).alias("lines")).where("lines > 0")
+    placed = rows.join(sizes, "crowd")
+    h = F.xxhash64("id", F.lit(11))
+    whole = placed.withColumn("j", F.pmod(h, "columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lines") - 1))).select("crowd", F.col("i").cast("long").alias("i"), "j", "id", "comp", F.lit(False).alias("minor"))
+    some = placed.where("comp <> main").withColumn("i", F.pmod(h, "lines")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).select("crowd", "i", F.col("j").cast("long").alias("j"), "id", "comp", F.lit(True).alias("minor"))
+    cells = whole.union(some).join(texts, "id").select("crowd", "i", "j", "id", "comp", "minor", "text")
+    return cells.groupBy("crowd", "i", "j").applyInArrow(_cell_links(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, pivot_rounds: int = 3) -> DataFrame:
     """Per document: n_shingles, component_id (smallest doc_id reachable over links) and kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -171,16 +221,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, pivot_rounds: int = 3) -
     x, y = narrow.alias("x"), narrow.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     rest = x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    # members of wide buckets meet under each pair of buckets that they share
-    crowd = buckets.join(wide, "key", "left_semi").select("key", "id", "comp")
-    second = members.select("id", F.col("key").alias("other"))
-    twice = crowd.join(second, "id").where("other <> key").select(F.least("key", "other").alias("k1"), F.greatest("key", "other").alias("k2"), "id", "comp").distinct()
-    x, y = twice.alias("x"), twice.alias("y")
-    apart = (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-    rest = rest.union(x.join(y, apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct()
     if tested is not None:
         rest = rest.join(tested, ["a", "b"], "left_anti")
-    links = _verified(rest, texts, percent).where("linked").select("a", "b")
+    links = _verified(rest.distinct(), texts, percent).where("linked").select("a", "b")
+    crowd = materialize(buckets.join(wide, "key", "left_semi"), "crowd")
+    if crowd.limit(1).count():
+        links = materialize(links.union(_crowd_links(crowd, texts, percent)), "links")
     if links.limit(1).count():
         labels = _merged(labels, links)
 
