@@ -38,6 +38,9 @@ def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str:
         return f"columns {sorted(spark_rows.columns)} and {sorted(sql_rows.columns)}"
     if len(spark_rows) != len(sql_rows):
         return f"{len(spark_rows)} and {len(sql_rows)} rows"
+    kinds = {c: (spark_rows[c].dtype.kind, sql_rows[c].dtype.kind) for c in spark_rows.columns}
+    if odd := {c: k for c, k in kinds.items() if k[0] != k[1]}:
+        return f"kinds {odd}"
     a, b = canonical(spark_rows), canonical(sql_rows)
     for c in a.columns:
         x, y = a[c], b[c]
