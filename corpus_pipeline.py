@@ -27,8 +27,8 @@ BROADCAST_IDS = 1_000_000
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language that the model knows; learns from the labelled rows."""
-    found = identify(docs, fit(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    found = identify(docs, fit(docs), keep=tuple(docs.columns), names=("__lang", "__share"))
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__share") >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

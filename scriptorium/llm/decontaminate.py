@@ -6,8 +6,8 @@ window of the documents' templates: a common passage of WINDOW + STRIDE - 1 word
 of a document with an item is then compared word by word, and the values that fill the item's slots must map to the document's consistently:
 a question asked again with other numbers is caught, a chance mixture of numbers is not.
 
-Items under ``MIN_RUN`` words are too short to be evidence and take no part. Null and empty texts match nothing. Repeated
-rows are judged alike. An empty benchmark flags nothing.
+Items under ``MIN_RUN`` words are too short to be evidence and take no part. Null and empty texts match nothing, and rows
+with a null ``doc_id`` are never flagged. Repeated rows are judged alike. An empty benchmark flags nothing.
 """
 
 from __future__ import annotations

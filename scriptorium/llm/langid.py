@@ -275,18 +275,18 @@ def fit(docs: DataFrame, bound: Sample = Sample()) -> Model:  # noqa: B008
     return train(rows, seed=bound.seed)
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, lang_pred and score of every document; only ``text`` enters the prediction."""
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns and two more, language and score, of every document; only ``text`` enters the prediction."""
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields] + [f"`{names[0]}` string", f"`{names[1]}` double"])
     if not model.languages:
-        return source.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return source.select(*keep, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for rows in batches(it, 4 << 20):
             langs, scores = labeller.predict([t or "" for t in rows.column("text").to_pylist()])
-            out = rows.select(list(keep)).append_column("lang_pred", pa.array(langs)).append_column("score", pa.array(scores))
+            out = rows.select(list(keep)).append_column(names[0], pa.array(langs)).append_column(names[1], pa.array(scores))
             yield from out.to_batches()
 
     return source.mapInArrow(apply, schema)

@@ -81,14 +81,12 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed stream: every taken document as often as it is taken, range-sorted by virtual finish time.
 
-    Takes per ``doc_id`` the copies of its schedule; rows that share a ``doc_id`` share their hash position
-    and so are kept apart by their size alone.
+    Rows that share doc_id, source and size share their schedule (the first in the order).
     """
-    plan = schedule(docs, **options)
-    taken = plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies", "virtual_finish", (F.col("source_size") / F.col("weight")).alias("__round"))
-    taken = taken.dropDuplicates(["__id", "__source", "__size"])
+    plan = schedule(docs, **options).where("copies > 0")
+    taken = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"), F.min("virtual_finish").alias("__first"), F.max(F.col("source_size") / F.col("weight")).alias("__round"))
     rows = docs.withColumn("__n", word_count(F.col("text")))
     joined = rows.join(taken, rows["doc_id"].eqNullSafe(taken["__id"]) & rows["source"].eqNullSafe(taken["__source"]) & (rows["__n"] == taken["__size"]))
-    played = joined.withColumn("__play", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    played = played.withColumn("__finish", F.col("virtual_finish") + F.col("__play") * F.col("__round"))
+    played = joined.withColumn("__play", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    played = played.withColumn("__finish", F.col("__first") + F.col("__play") * F.col("__round"))
     return played.repartitionByRange(F.col("__finish"), F.col("doc_id")).sortWithinPartitions("__finish", "doc_id").select(*docs.columns)
