@@ -29,9 +29,9 @@ def session_rollup(events: DataFrame) -> DataFrame:
 
 
 def keystroke_gaps(events: DataFrame) -> DataFrame:
-    """WIN-04: time since the session's keystroke before."""
+    """WIN-04: time since the session's keystroke before, -1 for its first."""
     keys = events.where("event_type = 'click'")
-    return keys.select("user_id", "event_id", (millis() - F.lag(millis()).over(in_order())).alias("gap_ms"))
+    return keys.select("user_id", "event_id", F.coalesce(millis() - F.lag(millis()).over(in_order()), F.lit(-1)).alias("gap_ms"))
 
 
 def timing(events: DataFrame, cap_ms: int = 86_400_000, least: int = 5) -> DataFrame:

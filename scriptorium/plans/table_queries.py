@@ -97,7 +97,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "str_06": (events(C.confidence), f"WITH {ROLL} SELECT user_id, round(least(CASE WHEN events >= 50 THEN 0.4 ELSE 0.2 END + CASE WHEN duration_ms >= 3600000 THEN 0.3 ELSE 0.1 END + CASE WHEN undos > 0 THEN 0.2 ELSE 0.0 END + CASE WHEN saves > 0 THEN 0.1 ELSE 0.0 END, 1.0), 6) AS confidence FROM rolled"),
     "str_08": (events(C.classify_edits), "SELECT user_id, CASE WHEN floor(value) > 200 THEN 'paste' WHEN floor(value) > 1 THEN 'batch' ELSE 'keystroke' END AS edit, count(*) AS n FROM events GROUP BY ALL"),
     "win_03": (events(C.top_events), "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INT) AS rank, event_id, value FROM events QUALIFY rank <= 3"),
-    "win_04": (events(C.keystroke_gaps), f"SELECT user_id, event_id, {MS} - lag({MS}) OVER {ORDERED} AS gap_ms FROM events WHERE event_type = 'click'"),
+    "win_04": (events(C.keystroke_gaps), f"SELECT user_id, event_id, coalesce({MS} - lag({MS}) OVER {ORDERED}, -1) AS gap_ms FROM events WHERE event_type = 'click'"),
     "win_05": (events(C.runs), f"WITH c AS (SELECT *, coalesce(CAST(event_type <> lag(event_type) OVER {ORDERED} AS INT), 1) AS ch FROM events), b AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block FROM c) SELECT user_id, CAST(block AS BIGINT) AS block, event_type, count(*) AS n FROM b GROUP BY ALL"),
     "win_06": (events(C.bursts), f"WITH c AS (SELECT *, coalesce(CAST({MS} - lag({MS}) OVER {ORDERED} > 7200000 AS INT), 1) AS late FROM events), b AS (SELECT *, sum(late) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM c) SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS n, min(ts) AS began, max(ts) AS ended FROM b GROUP BY ALL"),
     "win_hourly": (events(C.hourly), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"),
