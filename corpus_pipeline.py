@@ -17,7 +17,7 @@ from scriptorium.llm.langid import UNDETERMINED, fit, identify
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.neardup import near_duplicates
 from scriptorium.llm.tokens import token_ids
-from scriptorium.session import fresh_path, table
+from scriptorium.session import fresh_path, materialize, table
 
 #: A document whose likeliest language has a smaller share of its words' posterior is rejected.
 LANGUAGE_SHARE = 0.4
@@ -25,18 +25,28 @@ LANGUAGE_SHARE = 0.4
 BROADCAST_IDS = 1_000_000
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """Broadcast if the list is short."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language that the model knows; learns from the labelled rows."""
-    found = identify(docs, fit(docs), keep=tuple(docs.columns), names=("__lang", "__share"))
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__share") >= LANGUAGE_SHARE)).select(*docs.columns)
+    """Drops documents in no language that the model knows; learns from the labelled rows.
+
+    Only the rejected rows' keys come back from the model, so the texts never leave it again.
+    """
+    print_ = F.xxhash64("text").alias("print")
+    found = identify(docs.select("doc_id", print_, "text"), fit(docs), keep=("doc_id", "print"))
+    rejected = found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LANGUAGE_SHARE))
+    rejected = small(materialize(rejected.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "rejected"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__print"))
+    return docs.join(rejected, same, "left_anti").select(*docs.columns)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of linked documents."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id")
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ class Labeller:
         if len(self.index) + len(fresh) > CACHE_WORDS:
             self.index.clear()
             self.psi, fresh = self.psi[:0], list(seen)
-        score = self.model.emissions(fresh)
+        score = np.concatenate([self.model.emissions(fresh[i : i + 20_000]) for i in range(0, max(1, len(fresh)), 20_000)])
         psi = np.maximum(np.exp(score - score.max(1, keepdims=True)) if len(fresh) else score, 1e-6)
         self.index.update(zip(fresh, range(len(self.psi), len(self.psi) + len(fresh)), strict=True))
         self.psi = np.concatenate([self.psi, psi])

@@ -207,7 +207,7 @@ class ChunkIds(dict):
     their own, which go straight to the tokenizer's model. The bound keeps a worker's memory flat.
     """
 
-    LIMIT = 1_500_000
+    LIMIT = 700_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -318,7 +318,7 @@ def _write_segments(source: Iterator[pa.RecordBatch], path: str, end_id: int) ->
         kinds = {"part": pa.int32(), "seg": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in kinds.items()], list(kinds))
 
-    for rows in batches(source, 10 << 20):
+    for rows in batches(source, 8 << 20):
         for doc, one, part in zip(rows.column("doc_id").to_pylist(), encode_texts(rows.column("text").combine_chunks(), cache), rows.column("part").to_pylist(), strict=True):  # noqa: B020
             docs.append(doc)
             held.append(np.concatenate([one, end]))
