@@ -100,7 +100,7 @@ def bigram_array(words: Column) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Character n-grams in order (TOK-09)."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.concat(*[F.get(c, i + (k - 1)) for k in range(n)]))
     return bound(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.when(F.size(c) >= n, grams(c)).otherwise(F.array().cast("array<string>")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from scriptorium.operators.profiles import r6
+from scriptorium.operators.profiles import pearson, r6
 
 
 def in_order() -> WindowSpec:
@@ -101,7 +101,7 @@ def correlations(events: DataFrame) -> DataFrame:
     """AGG-08, 09, 10: Pearson's r, Spearman's rho with average ranks, and slope of value over order in each session."""
     by = Window.partitionBy("user_id")
     rows = events.select("user_id", "value", F.row_number().over(in_order()).cast("double").alias("x"), (F.rank().over(by.orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy("user_id", "value")) - 1) / 2.0).alias("r"))
-    per = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "value").alias("p"), F.sum(F.pow(F.col("x") - F.col("r"), 2)).alias("d"), F.regr_slope("value", "x").alias("m")).where("n >= 3")
+    per = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), pearson("x", "value").alias("p"), F.sum(F.pow(F.col("x") - F.col("r"), 2)).alias("d"), F.regr_slope("value", "x").alias("m")).where("n >= 3")
     return per.select("user_id", r6(F.coalesce("p", F.lit(0.0))).alias("pearson"), r6(1 - 6 * F.col("d") / (F.col("n") * (F.col("n") * F.col("n") - 1))).alias("spearman"), r6(F.col("m")).alias("slope"))
 
 

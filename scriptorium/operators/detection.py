@@ -10,7 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
-from scriptorium.operators.profiles import listed, r6, ratio
+from scriptorium.operators.profiles import listed, pearson, r6, ratio
 
 
 def by_doc() -> WindowSpec:
@@ -200,3 +200,45 @@ def conditional_entropy(docs: DataFrame) -> DataFrame:
     n = rows.groupBy("doc_id", F.col("token").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     p = n.select("doc_id", (F.col("n") / F.sum("n").over(by_doc())).alias("p"), (F.col("n") / F.sum("n").over(Window.partitionBy("doc_id", "a"))).alias("c"))
     return p.groupBy("doc_id").agg(r6(-F.sum(F.col("p") * F.log2("c"))).alias("entropy"))
+
+
+PRONOUNS = "i you he she it we they".split()
+SPLICE_OPENERS = PRONOUNS + ["this", "that", "there", "here"]
+
+
+def comma_splices(docs: DataFrame) -> DataFrame:
+    """DET-13: parts between commas of three words or more that open with a pronoun, less one, per sentence; ten sentences at least."""
+    first = lambda w: F.regexp_replace(F.lower(F.get(w, 0)), r"[^\p{L}]", "")
+    parts = F.transform(F.split("text", ","), lambda p: T.ws_words(p))
+    hits = F.size(F.filter(parts, lambda w: (F.size(w) >= 3) & first(w).isin(*SPLICE_OPENERS)))
+    rows = docs.select("doc_id", hits.alias("h"), F.size(T.sentences_b(F.col("text"))).alias("s")).where("s >= 10")
+    return rows.select("doc_id", r6(F.greatest(F.col("h") - 1, F.lit(0)) / F.col("s")).alias("ratio"))
+
+
+def passive_clustering(docs: DataFrame) -> DataFrame:
+    """DET-08: variance of the share of passive sentences over runs of a quarter of them; twenty sentences at least."""
+    s = docs.select("doc_id", T.sentences_b(F.col("text")).alias("s")).where(F.size("s") >= 20).select("doc_id", F.expr("size(s) div 4").alias("k"), F.posexplode("s").alias("i", "sentence"))
+    clean = F.lower(F.regexp_replace(F.regexp_replace("sentence", r"[^\p{L}\s]", ""), r"\s+", " "))
+    hit = F.concat(F.lit(" "), clean, F.lit(" ")).rlike(r" (?:was|were|is|are|been|being) [^ ]*(?:ed|en) ")
+    runs = s.groupBy("doc_id", F.expr("i div k").alias("run")).agg(F.avg(hit.cast("double")).alias("r"))
+    return runs.groupBy("doc_id").agg(r6(F.var_samp("r")).alias("clustering"))
+
+
+def pronoun_shifts(docs: DataFrame) -> DataFrame:
+    """DET-22: share of changes between successive sentences that open with a pronoun."""
+    rows = _first_words(docs).where(F.col("w").isin(*PRONOUNS)).withColumn("before", F.lag("w").over(by_doc().orderBy("idx"))).where("before is not null")
+    return rows.groupBy("doc_id").agg(r6(F.avg((F.col("w") != F.col("before")).cast("double"))).alias("shifts"))
+
+
+def diversity_length(docs: DataFrame, size: int = 200) -> DataFrame:
+    """DET-06: correlation over token windows of the type-token ratio with the mean length of the sentences in proportion."""
+    base = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.transform(T.sentences(F.col("text")), lambda s: F.size(F.split(s, r"\s+"))).alias("lens")).where(f"n >= {2 * size}")
+    base = base.withColumn("k", F.expr(f"n div {size}")).withColumn("enough", (F.col("k") >= 3) & (F.size("lens") >= F.col("k")))
+    ttr = fixed_windows(docs, size).select("doc_id", "win", (F.col("distinct_tokens") / size).alias("ttr"))
+    at = lambda edge: F.floor(edge * size / F.col("n") * F.size("lens")).cast("int")
+    rows = base.join(ttr, "doc_id").withColumn("a", at(F.col("win"))).withColumn("b", F.least(at(F.col("win") + 1), F.size("lens")))
+    some = F.slice("lens", F.col("a") + 1, F.greatest(F.col("b") - F.col("a"), F.lit(0)))
+    mean = F.when(F.col("b") > F.col("a"), F.aggregate(some, F.lit(0), lambda x, y: x + y) / (F.col("b") - F.col("a"))).otherwise(0.0)
+    per = rows.select("doc_id", "enough", "ttr", mean.alias("m")).groupBy("doc_id", "enough").agg(pearson("ttr", "m").alias("c"))
+    value = F.when(F.col("enough"), F.coalesce("c", F.lit(0.0))).otherwise(0.0)
+    return per.select("doc_id", F.round(value, 4).alias("correlation"))

@@ -20,6 +20,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
+def pearson(x: str, y: str) -> Column:
+    """AGG-08: Pearson's r as an aggregate, 0 where either side is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread < 1e-12, 0.0).otherwise(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
+
 def lexical(docs: DataFrame) -> DataFrame:
     """LEX-01, 02, 03, 05, 06, 07: richness of a document's vocabulary from its token counts."""
     per = T.token_counts(docs).groupBy("doc_id").agg(

@@ -11,6 +11,7 @@ from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
 from scriptorium.operators import detection as D
 from scriptorium.operators.profiles import r6
+from scriptorium.session import materialize
 
 #: Feature, centre, steepness, weight, whether the absolute value counts.
 SCORE_PARAMS = [
@@ -44,7 +45,7 @@ def gated(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
 
 def features(docs: DataFrame) -> DataFrame:
     """DET-28: all features of the documents that are long enough, in long form; absent ones are null."""
-    some = gated(docs)
+    some = materialize(gated(docs).select("doc_id", "text"), "gated")  # sixteen features read it
     return reduce(DataFrame.unionByName, [f(some).select("doc_id", F.lit(name).alias("feature"), F.col(c).cast("double").alias("value")) for name, (f, c) in FEATURES.items()])
 
 

@@ -8,10 +8,11 @@ from scriptorium.functions import lexicons as L
 from scriptorium.operators import capture as C
 from scriptorium.operators import corpus as K
 from scriptorium.operators import evaluation as E
+from scriptorium.operators import register as R
 from scriptorium.operators import scoring as S
 from scriptorium.operators import vectors as V
 from scriptorium.plans.text_queries import QUERIES as TEXT
-from scriptorium.plans.text_queries import TOK, TOKS, WS, Query, docs, on, quoted
+from scriptorium.plans.text_queries import CNT, TOK, TOKS, WS, Query, docs, on, quoted
 from scriptorium.session import table
 from scriptorium.sources import extract as X
 
@@ -73,6 +74,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "set_04": (lambda spark, sf: table(spark, sf, "documents").select(F.lit("documents").alias("origin"), "text").unionByName(table(spark, sf, "conversations").select(F.lit("conversations").alias("origin"), "text")).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "SELECT origin, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY 1"),
     "agg_05": (docs(K.author_profiles), f"WITH l AS ({TEXT['lex_01'][1]}) SELECT source AS author, count(*) AS documents, round(avg(ttr), 5) AS ttr, round(avg(hapax_ratio), 5) AS hapax_ratio, round(avg(avg_word_length), 5) AS avg_word_length, round(avg(yule_k), 5) AS yule_k FROM l JOIN documents USING (doc_id) GROUP BY 1"),
     "msc_16": (docs(K.distribution), "SELECT lang, source, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL"),
+    "reg_01": (docs(R.register_features), f"WITH {CNT}, w AS (SELECT doc_id, sum(n) AS w, sum(n * strlen(token)) AS b, coalesce(sum(n) FILTER (token IN ({quoted(R.FIRST_PERSON)})), 0) AS p FROM cnt GROUP BY 1), a AS (SELECT w.doc_id, w, b, 1000.0 * p / w AS person, coalesce(avg_words, 0) AS len, coalesce(question_ratio, 0) AS question_ratio, coalesce(passive_ratio, 0) AS passive, contractions / w AS con, hedge_ratio, flesch_kincaid, per_1000 / 1000 AS disc FROM w LEFT JOIN ({TEXT['syn_01'][1]}) s ON s.doc_id = w.doc_id LEFT JOIN ({TEXT['syn_05'][1]}) p ON p.doc_id = w.doc_id JOIN ({TEXT['sty_04'][1]}) y ON y.doc_id = w.doc_id JOIN ({TEXT['sem_03'][1]}) r ON r.doc_id = w.doc_id JOIN ({TEXT['sem_02'][1]}) d ON d.doc_id = w.doc_id) SELECT doc_id, round(0.25 * least(len / 30.0, 1.0) + 0.25 * passive + 0.25 * least(greatest(1.0 - con * 100.0, 0.0), 1.0) + 0.25 * (1.0 - least(person / 50.0, 1.0)), 5) AS formality, round(least(greatest((b / w - 4.0) / 3.0, 0.0), 1.0), 5) AS technical, round(person, 6) AS first_person, round(question_ratio, 6) AS question_ratio, round(flesch_kincaid, 5) AS grade, round(hedge_ratio, 6) AS hedge_ratio, round(disc, 5) AS discourse_ratio FROM a"),
     # scores
     "sco_01": (docs(lambda d: S.feature_scores(d).select("doc_id", "feature", F.round("score", 4).alias("score"))), f"WITH {SCORES} SELECT doc_id, feature, round(score, 4) AS score FROM scores"),
     "sco_02": (docs(S.composite), f"WITH {SCORES}, s AS (SELECT doc_id, count(*) AS features, round(sum(weight * score) / sum(weight), 4) AS score FROM scores GROUP BY 1) SELECT doc_id, features, score, {TIER('score', 0)} AS tier, {TIER('score', 1)} AS action FROM s"),

@@ -118,4 +118,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "det_25": (docs(D.enumeration), f"WITH {SENT}, s AS (SELECT doc_id, lower(sentence) AS s FROM sent) SELECT doc_id, round(avg(CAST({' OR '.join(f'starts_with(s, {quoted([m])}) OR contains(s, {quoted([chr(44) + chr(32) + m])})' for m in L.ENUMERATIONS)} AS DOUBLE)), 6) AS ratio FROM s GROUP BY 1"),
     "det_26": (docs(D.paragraph_overlap), rf"WITH p AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(p), '[^\p{{L}}]+'), lambda w: strlen(w) > 2 AND w NOT IN ({quoted(L.FUNCTION_WORDS)}))) AS s, i FROM (SELECT doc_id, unnest(x) AS p, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: s <> '') AS x FROM documents))), l AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS t FROM p) SELECT doc_id, round(avg(CASE WHEN len(s) + len(t) = 0 THEN 0.0 ELSE len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t))) END), 6) AS jaccard FROM l WHERE t IS NOT NULL GROUP BY 1"),
     "res_01": (docs(D.conditional_entropy), f"WITH {TOK}, b AS (SELECT doc_id, token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok), n AS (SELECT doc_id, a, b, count(*) AS n FROM b WHERE b IS NOT NULL GROUP BY ALL), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p, n / sum(n) OVER (PARTITION BY doc_id, a) AS c FROM n) SELECT doc_id, round(-sum(p * log2(c)), 6) AS entropy FROM p GROUP BY 1"),
+    "det_06": (docs(D.diversity_length), f"WITH {TOK}, l AS (SELECT doc_id, len({TOKS}) AS n, list_transform({sents()}, lambda s: len(regexp_split_to_array(s, '\\s+'))) AS lens FROM documents), b AS (SELECT *, n // 200 AS k FROM l WHERE n >= 400), t AS (SELECT doc_id, pos // 200 AS win, count(DISTINCT token) / 200 AS ttr FROM tok JOIN b USING (doc_id) WHERE pos // 200 < k GROUP BY ALL), r AS (SELECT b.doc_id, k >= 3 AND len(lens) >= k AS enough, ttr, lens, CAST(floor(win * 200 / n * len(lens)) AS INT) AS a, least(CAST(floor((win + 1) * 200 / n * len(lens)) AS INT), len(lens)) AS e FROM b JOIN t USING (doc_id)), m AS (SELECT doc_id, enough, ttr, CASE WHEN e > a THEN list_avg(lens[a + 1:e]) ELSE 0.0 END AS m FROM r) SELECT doc_id, round(CASE WHEN any_value(enough) AND stddev_pop(ttr) * stddev_pop(m) >= 1e-12 THEN covar_pop(ttr, m) / (stddev_pop(ttr) * stddev_pop(m)) ELSE 0.0 END, 4) AS correlation FROM m GROUP BY 1"),
+    "det_08": (docs(D.passive_clustering), rf"WITH {SENTB}, k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM sent), h AS (SELECT doc_id, idx // (c // 4) AS run, avg(CAST(regexp_matches(' ' || lower(regexp_replace(regexp_replace(sentence, '[^\p{{L}}\s]', '', 'g'), '\s+', ' ', 'g')) || ' ', ' (?:was|were|is|are|been|being) [^ ]*(?:ed|en) ') AS DOUBLE)) AS r FROM k WHERE c >= 20 GROUP BY ALL) SELECT doc_id, round(var_samp(r), 6) AS clustering FROM h GROUP BY 1"),
+    "det_13": (docs(D.comma_splices), rf"WITH h AS (SELECT doc_id, len({sents(chr(34) + ')')}) AS s, len(list_filter(list_transform(string_split(text, ','), lambda p: list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')), lambda w: len(w) >= 3 AND regexp_replace(lower(w[1]), '[^\p{{L}}]', '', 'g') IN ({quoted(D.SPLICE_OPENERS)}))) AS h FROM documents) SELECT doc_id, round(greatest(h - 1, 0) / s, 6) AS ratio FROM h WHERE s >= 10"),
+    "det_22": (docs(D.pronoun_shifts), rf"WITH {SENT}, f AS (SELECT doc_id, idx, regexp_replace(lower(regexp_split_to_array(sentence, '\s+')[1]), '[^\p{{L}}]', '', 'g') AS w FROM sent), p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY idx) AS b FROM f WHERE w IN ({quoted(D.PRONOUNS)})) SELECT doc_id, round(avg(CAST(w <> b AS DOUBLE)), 6) AS shifts FROM p WHERE b IS NOT NULL GROUP BY 1"),
 }

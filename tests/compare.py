@@ -64,7 +64,7 @@ if __name__ == "__main__":
     for key, query in entry.queries().items():
         if sys.argv[2:] and key not in sys.argv[2:] or not sys.argv[2:] and key not in sql:
             continue
-        began = time.time()
+        began, rows = time.time(), ()
         try:
             rows = query(spark, sys.argv[1]).toPandas()
             said = difference(rows, con.execute(sql[key]).df()) if key in sql else "no SQL"
