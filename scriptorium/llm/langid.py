@@ -33,7 +33,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 DIMENSIONS = 1 << 16
 #: Words in a step of the two-level forward-backward.
 STRIDE = 32
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -284,7 +284,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
-        for rows in batches(it, 4 << 20):
+        for rows in batches(it, 2 << 20):
             langs, scores = labeller.predict([t or "" for t in rows.column("text").to_pylist()])
             out = rows.select(list(keep)).append_column(names[0], pa.array(langs)).append_column(names[1], pa.array(scores))
             yield from out.to_batches()
