@@ -77,7 +77,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _local_join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Proposals (idx, nbr, sim) from comparing each node's candidates with one another."""
-    for batch in it:
+    for batch in (whole.slice(at, 512) for whole in it for at in range(0, whole.num_rows, 512)):
         offsets, flat = _lists(batch, "near")
         if not len(flat):
             continue

@@ -28,7 +28,7 @@ from scriptorium.llm.words import BASE, batches, hashes_of, mixed, raw_texts, ro
 
 WINDOW, GRAM = 20, 10
 #: Text bytes of a block, which bound a worker's memory; and of the corpus for each bucket.
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 3 << 20
+BLOCK_BYTES, BUCKET_BYTES = 5 << 20, 3 << 20
 LAST = np.iinfo(np.int64).max
 FACTOR = [("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("source_doc", pa.int64()), ("source_start", pa.int32())]
 
