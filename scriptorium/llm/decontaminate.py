@@ -1,29 +1,38 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
 A text's template replaces names, numbers and units by typed placeholders and drops case and punctuation, word for
-word, so that a template's words stay aligned with the text's. All windows of the benchmark's templates meet, by hash, every STRIDE-th
-window of the documents' templates: a common passage of WINDOW + STRIDE - 1 words always holds one. Each candidate alignment
-of a document with an item is then compared word by word, and the values that fill the item's slots must map to the document's consistently:
-a question asked again with other numbers is caught, a chance mixture of numbers is not.
-
-Items under ``MIN_RUN`` words are too short to be evidence and take no part. Null and empty texts match nothing, and rows
-with a null ``doc_id`` are never flagged. Repeated rows are judged alike. An empty benchmark flags nothing.
+word, so that a template's words stay aligned with the text's. All windows of the benchmark's templates meet, by hash, all windows of the
+documents' templates. Each candidate alignment of a document with an item, and its neighbours up to ``SLACK`` words away, is then
+compared word by word. Alignments that lie close together are one occurrence, and its agreeing words, over all runs and shifts, are summed:
+an item copied with words changed, inserted or left out here and there is found by its share of agreeing words. The values that fill the
+item's slots must map to the document's consistently: a question asked again with other numbers is caught, a chance mixture of numbers is
+not. In a run they all must; in the sum, a value that goes another way than its like does not count.
+
+Most agreeing words must be literal, unless the slots hold the item's own values. Items under ``SHORT`` words must be repeated whole, with their
+own values. Null and empty texts match nothing, and rows with a null ``doc_id`` are never flagged. Repeated rows are judged alike. An empty
+benchmark flags nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.session import materialize
 
-WINDOW, STRIDE = 8, 4
-MIN_RUN = WINDOW + STRIDE - 1
-#: A run of so many words is evidence by itself; a shorter one if it covers so much of the item.
+WINDOW = 8
+#: Shorter items must be repeated whole.
+SHORT = 11
+#: A run of so many words is evidence by itself; shorter ones if together they cover so much of the item.
 LONG_RUN, SHARE = 13, 0.6
+#: Words of a run that counts in the sum; words by which alignments around a candidate are tried.
+PART, SLACK = 3, 4
 #: Rows of the benchmark's window table (16 bytes each), and of candidates, up to which they are broadcast.
 BROADCAST_ROWS = 1_000_000
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+SLOT = f"[{NUMBER}-{UNIT}]"
 UNITS = "kilometers|kilometres|meters|metres|miles|feet|inches|km|cm|mm|kilograms|grams|kg|mg|pounds|ounces|liters|litres|ml|hours|minutes|seconds|days|weeks|months|years|dollars|euros|cents|percent|degrees"
 
 
@@ -47,10 +56,11 @@ def _templates(df: DataFrame, key: str, extra: bool) -> DataFrame:
     return df.select(*columns)
 
 
-def _windows(df: DataFrame, key: str, stride: int) -> DataFrame:
-    """(key, at, h): hashes of windows that start at word at = 1, 1 + stride, ..."""
-    hashes = F.expr(f"transform(sequence(1, size(words) - {WINDOW - 1}, {stride}), i -> xxhash64(slice(words, i, {WINDOW})))")
-    return df.where(F.size("words") >= WINDOW).select(key, F.posexplode(hashes).alias("nth", "h")).select(key, (F.col("nth") * stride + 1).alias("at"), "h")
+def _windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """(key, at, h): hashes of all windows of the given sizes, by their first word."""
+    # short texts give empty arrays: a filter on their size would compute the templates twice
+    hashes = [F.expr(f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> xxhash64(slice(words, i, {n}))), cast(array() as array<bigint>))") for n in sizes]
+    return df.select(key, F.explode(F.array(*hashes)).alias("hashes")).select(key, F.posexplode("hashes").alias("nth", "h")).select(key, (F.col("nth") + 1).alias("at"), "h")
 
 
 def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,29 +70,52 @@ def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it repeats: where, how much, and whether its slots were refilled."""
     rows = docs.select("doc_id", "text")
-    items = benchmark.select("item_id", "text").where("item_id is not null")
-    items = materialize(_templates(items, "item_id", True).where(F.size("words") >= MIN_RUN), "items")
-    index = materialize(_windows(items, "item_id", 1).withColumnRenamed("at", "item_at"), "item-windows")
-    seen = _windows(_templates(rows, "doc_id", False), "doc_id", STRIDE)
-    found = seen.join(_small(index), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & (_spaced(F.col("text")) != ""))
+    items = materialize(_templates(items, "item_id", True).withColumn("n", F.size("words")), "items")
+    short = [r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # under WINDOW rows
+    index = [_windows(items.where(F.col("n") >= WINDOW), "item_id", [WINDOW])] + [_windows(items.where(F.col("n") == n), "item_id", [n]) for n in short]
+    index = materialize(reduce(DataFrame.union, index).withColumnRenamed("at", "item_at"), "item-windows")
+    seen = _windows(_templates(rows, "doc_id", False), "doc_id", [WINDOW, *short])
+    found = seen.join(_small(index), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).where("doc_id is not null").distinct()
     found = materialize(found, "candidates")
     some = _small(found.select("doc_id").distinct())
-    again = _templates(rows.join(some, "doc_id", "left_semi"), "doc_id", True).join(found, "doc_id")
-    theirs = items.select("item_id", F.col("words").alias("item_words"), F.col("values").alias("item_values"))
+    # candidates of one item that lie close together are one occurrence
+    ordered = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    far = F.coalesce(F.col("shift") - F.lag("shift").over(ordered) > F.greatest(F.lit(2 * SLACK), F.col("n") / 2), F.lit(False))
+    groups = found.join(_small(items.select("item_id", "n"), 50_000), "item_id").withColumn("far", far.cast("int"))
+    groups = groups.withColumn("place", F.sum("far").over(ordered)).groupBy("doc_id", "item_id", "place").agg(F.collect_set("shift").alias("seeds"))
+    shifts = F.expr(f"array_distinct(flatten(transform(seeds, s -> sequence(s - {SLACK}, s + {SLACK}))))")
+    again = _templates(rows.join(some, "doc_id", "left_semi"), "doc_id", True).join(groups.select("doc_id", "item_id", "place", shifts.alias("shifts")), "doc_id")
+    theirs = items.select("item_id", "n", F.col("words").alias("item_words"), F.col("values").alias("item_values"))
     again = again.join(_small(theirs, 10_000), "item_id")
-    again = again.withColumn("lo", F.greatest(F.lit(1), 1 - F.col("shift"))).withColumn("hi", F.least(F.size("item_words"), F.size("words") - F.col("shift")))
-    again = again.withColumn("same", F.expr("transform(sequence(lo, hi), i -> words[i + shift - 1] = item_words[i - 1])"))
-    run = "aggregate(same, named_struct('run', 0, 'best', 0, 'at', 0, 'i', 0), (a, s) -> named_struct('run', if(s, a.run + 1, 0), 'best', if(s and a.run + 1 > a.best, a.run + 1, a.best), 'at', if(s and a.run + 1 > a.best, a.i - a.run, a.at), 'i', a.i + 1))"
-    again = again.withColumn("r", F.expr(run)).withColumn("first", F.expr("lo + r.at"))
-    again = again.withColumn("run", F.expr("sequence(first, first + r.best - 1)")).where(F.col("r.best") >= MIN_RUN)
-    again = again.withColumn("slots", F.expr("array_distinct(transform(filter(run, i -> item_words[i - 1] rlike '[\\\\x01-\\\\x03]'), i -> named_struct('theirs', lower(regexp_replace(item_values[i - 1], '[.,;:!?]+$', '')), 'ours', lower(regexp_replace(values[i + shift - 1], '[.,;:!?]+$', '')))))"))
-    again = again.withColumn("literal", F.expr("size(filter(run, i -> item_words[i - 1] rlike '\\\\p{L}'))"))
+    same = "i <= n and coalesce(get(words, i + s - 1) = get(item_words, i - 1), false)"
+    longer = f"if(i - a.start >= least({PART}, n), concat(a.runs, array(named_struct('first', a.start, 'len', i - a.start, 'shift', s))), a.runs)"
+    runs = f"aggregate(sequence(1, n + 1), named_struct('start', 1, 'runs', cast(array() as array<struct<first: int, len: int, shift: int>>)), (a, i) -> if({same}, a, named_struct('start', i + 1, 'runs', {longer})), a -> a.runs)"
+    again = again.withColumn("copy", F.xxhash64("values")).withColumn("r", F.explode(F.expr(f"flatten(transform(shifts, s -> {runs}))")))
+    bare = "lower(regexp_replace({}, '[.,;:!?]+$', ''))"
+    pair = f"named_struct('at', i, 'word', item_words[i - 1], 'theirs', {bare.format('item_values[i - 1]')}, 'ours', {bare.format('values[i + r.shift - 1]')})"
+    again = again.select("doc_id", "copy", "item_id", "place", "n", "r", F.expr(f"transform(sequence(r.first, r.first + r.len - 1), i -> {pair})").alias("run"))
+    again = again.withColumn("slots", F.expr(f"array_distinct(transform(filter(run, x -> x.word rlike '{SLOT}'), x -> named_struct('theirs', x.theirs, 'ours', x.ours)))"))
+    count = lambda test: F.expr(f"size(filter(run, x -> {test}))")
     consistent = F.size("slots") == F.size(F.expr("array_distinct(transform(slots, s -> s.theirs))"))
-    enough = (F.col("r.best") >= LONG_RUN) | (F.col("r.best") >= SHARE * F.size("item_words"))
-    hits = again.where(enough & consistent & (2 * F.col("literal") >= F.col("r.best")))
-    changed = F.expr("exists(slots, s -> s.theirs <> s.ours)")
-    best = F.max(F.struct(F.col("r.best").alias("run_words"), (-(F.col("first") + F.col("shift") - 1)).alias("minus_start"), F.size("item_words").alias("item_words"), F.size("slots").alias("slots"), changed.alias("refilled")))
-    hits = hits.groupBy("doc_id", "item_id").agg(best.alias("x"))
+    alone = ((F.col("r.len") >= LONG_RUN) | (F.col("r.len") >= SHARE * F.col("n"))) & consistent
+    own = ~F.expr("exists(slots, s -> s.theirs <> s.ours)") & (2 * count("x.word <> ''") >= F.col("r.len"))
+    alone = alone & (own | (2 * count("x.word rlike '\\\\p{L}'") >= F.col("r.len"))) & ((F.col("n") >= SHORT) | (own & (F.col("r.len") == F.col("n"))))
+    # each word of the item by the longest run that holds it
+    where = ["doc_id", "copy", "item_id", "place"]
+    words = again.select(*where, "n", "r", alone.alias("alone"), F.explode("run").alias("x"))
+    best = F.max(F.struct("r.len", (-F.col("r.shift")).alias("minus"), "x.word", "x.theirs", "x.ours")).alias("b")
+    words = words.groupBy(*where, "n", "x.at").agg(best, F.max("alone").alias("alone"))
+    words = words.select(*where, "n", "alone", (F.col("at") - F.col("b.minus") - 1).alias("doc_at"), "b.word", "b.theirs", "b.ours", F.col("b.word").rlike(SLOT).alias("slot"))
+    words = words.withColumn("votes", F.count("*").over(Window.partitionBy(*where, "slot", "theirs", "ours")))
+    first = F.first("ours").over(Window.partitionBy(*where, "slot", "theirs").orderBy(F.desc("votes"), "ours"))
+    words = words.withColumn("agrees", ~F.col("slot") | (F.col("ours") == first))
+    yes = lambda test: F.count_if(F.col("agrees") & test)
+    sums = words.groupBy(*where, "n").agg(F.max("alone").alias("alone"), yes(F.lit(True)).cast("int").alias("agreed"), yes(F.col("word").rlike(r"\p{L}")).alias("literal"), yes(F.col("word") != "").alias("filled"), yes(F.col("slot") & (F.col("theirs") != F.col("ours"))).alias("changed"), F.min(F.when(F.col("agrees"), F.col("doc_at"))).alias("start"), F.size(F.collect_set(F.when(F.col("agrees") & F.col("slot"), F.struct("theirs", "ours")))).alias("slots"))
+    own = (F.col("changed") == 0) & (2 * F.col("filled") >= F.col("agreed"))
+    summed = (F.col("n") >= SHORT) & (F.col("agreed") >= SHARE * F.col("n")) & (own | (2 * F.col("literal") >= F.col("agreed")))
+    best = F.max(F.struct(F.col("agreed").alias("run_words"), (-F.col("start")).alias("minus_start"), F.col("n").alias("item_words"), "slots", (F.col("changed") > 0).alias("refilled")))
+    hits = sums.where(F.col("alone") | summed).groupBy("doc_id", "item_id").agg(best.alias("x"))
     return hits.select("doc_id", "item_id", (-F.col("x.minus_start")).alias("start_word"), "x.run_words", "x.item_words", "x.slots", "x.refilled")
 
 

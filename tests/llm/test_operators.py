@@ -395,6 +395,24 @@ def test_decontamination(spark, docs, rows, empty):
     assert contaminated(empty, bench).count() == 0 and wrong
 
 
+def test_decontamination_of_edited_copies(spark):
+    from scriptorium.llm.decontaminate import contaminated
+
+    rng = random.Random(8)
+    items = [words(rng, n) for n in (24, 48, 40)] + ["3 5 8 13 21 34 55 89 144 233 377 610 987 1597", "what is the capital of france", words(rng, 9)]
+    edited = [x.split() for x in items]
+    edited[0][12] = "other"
+    edited[1][11::12] = ["other"] * 4
+    edited[2][20:20] = ["two", "more"]
+    edited[2][10:10] = ["more"]
+    texts = [f"{words(rng, 30)} {' '.join(x)} {words(rng, 30)}" for x in edited]
+    texts += ["what is the capital of spain and " + words(rng, 20), " ".join(items[2].split()[:9]) + " " + words(rng, 60), words(rng, 300)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = contaminated(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["run_words"] for r in found} == {(0, 0): 23, (1, 1): 44, (2, 2): 40, (3, 3): 14, (4, 4): 6, (5, 5): 9}
+    assert {r["start_word"] for r in found} == {30}
+
+
 def test_nearest_neighbours(spark):
     from scriptorium.llm.neighbours import nearest
 
