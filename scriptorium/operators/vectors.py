@@ -50,11 +50,16 @@ def doubles(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
+#: Queries up to which they are broadcast; beyond it the same pairs are made from blocks of both sides.
+BROADCAST_QUERIES = 10_000
+
+
 def query_pairs(vectors: DataFrame, every: int = 100) -> DataFrame:
-    """JOI-03: a stated set of queries (ids that ``every`` divides) beside all vectors; the queries are the broadcast side."""
+    """JOI-03: a stated set of queries (ids that ``every`` divides) beside all vectors; a small set of queries is the broadcast side."""
     rows = doubles(vectors)
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
-    return rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_QUERIES else asked.hint("shuffle_replicate_nl")
+    return rows.join(asked, F.col("vec_id") != F.col("query_id"))
 
 
 def distances(vectors: DataFrame) -> DataFrame:

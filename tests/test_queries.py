@@ -17,6 +17,18 @@ def test_query_equals_its_sql(spark, sf_dir, con, key):
     assert difference(rows, con.execute(catalogue.oracle_sql()[key]).df()) == ""
 
 
+def test_many_queries_are_not_broadcast(spark, sf_dir, monkeypatch):
+    from scriptorium.operators import vectors as V
+    from scriptorium.session import table
+
+    few = V.nearest(table(spark, sf_dir, "embeddings"))
+    monkeypatch.setattr(V, "BROADCAST_QUERIES", 0)
+    many = V.nearest(table(spark, sf_dir, "embeddings"))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert sorted(many.collect()) == sorted(few.collect())
+
+
 def test_merkle_root(spark):
     import hashlib
 
