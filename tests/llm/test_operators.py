@@ -335,6 +335,18 @@ def test_skip_links_make_labels_consistent():
     assert [(text[s:e], pii.KINDS[k]) for k, s, e in spans] == [("555-6408", "phone")]
 
 
+def test_support_reaches_all_mentions():
+    from scriptorium.llm import pii
+
+    # a field to which the mentions themselves say nothing
+    labels = len(pii.KINDS) + 1
+    field = pii.Field(np.zeros((pii.DIMENSIONS, labels)), np.zeros((labels, labels)), 4 * np.eye(labels))
+    for text in ("first +1 (344) 555-6408" + " then 555-6408 there" * 50, "then 555-6408 there " * 50 + "last +1 (344) 555-6408"):
+        nodes = pii.tokens_of(text, pii.base_spans(text))
+        spans = pii.further_spans(nodes, pii.marginals(field, [nodes]))
+        assert [(text[s:e], pii.KINDS[k]) for k, s, e in spans] == [("555-6408", "phone")] * 50
+
+
 def test_language_id(spark, docs, rows, empty):
     from scriptorium.llm.langid import Labeller, fit, identify, train
 
