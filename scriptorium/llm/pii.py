@@ -4,8 +4,9 @@ The base patterns find e-mail addresses, IP addresses, card and phone numbers, e
 every token with a digit or an @ by kind. Neighbouring tokens share a chain potential; tokens that are equal or similar (the same digits, or
 the same letters and digits) share a skip potential, however far apart they stand in the document. Loopy message passing gives the tokens'
 marginals, so a number that is written out in full once is also known where its plus sign or its
-separators are missing. A token becomes a further span if its marginal reaches ``CONFIDENT`` and a similar token of
-the document lies in a base span; base spans always stay.
+separators are missing. A number may run over several tokens; it is similar to a base span that ends in the same ``SUFFIX`` digits or more.
+A token becomes a further span if its marginal reaches ``CONFIDENT`` and a similar token of the document lies in a base span, or if its
+marginal reaches ``CONFIDENT_ALONE``, whatever the rest of the document holds; base spans always stay.
 
 The potentials are trained piece by piece on a bounded sample of documents (``SAMPLE_DOCUMENTS`` of at most
 ``SAMPLE_BYTES`` each), labelled by the base patterns. Similar tokens are linked to one of them, the first in a base span if there is
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from scriptorium.llm.words import batches
 
 KINDS = ("email", "ip", "card", "phone")
-CONFIDENT = 0.9
+CONFIDENT, CONFIDENT_ALONE = 0.9, 0.98
+#: Last digits by which two numbers are similar, and the log odds that these do not agree by chance.
+SUFFIX = 7
+SAME_NUMBER = SUFFIX * float(np.log(10))
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 800, 20_000
 DIMENSIONS = 1 << 14
 #: Messages have settled once none moves by more; a document whose messages never do is given up after so many rounds and so many more a node.
@@ -45,6 +49,7 @@ INTERESTING = re.compile(r"[0-9@]")
 DOTTED = re.compile(r"[0-9.]+")
 ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+NUMERIC = re.compile(r"[(+]*[0-9][0-9().+-]*[,;:.!?)]*\Z")
 Span = tuple[int, int, int]
 
 
@@ -89,7 +94,8 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class Tokens:
-    """The nodes of one document: places, feature ids, chain and skip links, kinds by base patterns (0: none)."""
+    """The nodes of one document: places, feature ids, chain and skip links, kinds by base patterns (0: none), keys of
+    similarity, and links between tokens of one number."""
 
     spans: list[tuple[int, int]]
     features: list[list[int]]
@@ -97,6 +103,7 @@ class Tokens:
     skip: list[tuple[int, int]]
     kinds: list[int]
     keys: list[list[str]]
+    number: list[tuple[int, int]]
 
 
 def _shape(token: str) -> str:
@@ -113,8 +120,9 @@ def similar_key(token: str) -> str | None:
 
 def tokens_of(text: str, base: list[Span]) -> Tokens:
     found = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    out = Tokens([], [], [], [], [], [])
+    out = Tokens([], [], [], [], [], [], [])
     last = -2
+    runs: list[tuple[int, list[int]]] = []  # (base span or -1, nodes) of adjacent numeric tokens
     ordered, at = sorted((s, e, k) for k, s, e in base), 0
     for i, (s, e) in enumerate(found):
         token = text[s:e]
@@ -127,26 +135,70 @@ def tokens_of(text: str, base: list[Span]) -> Tokens:
         out.features.append([xxhash.xxh32_intdigest(x) % DIMENSIONS for x in names])
         while at < len(ordered) and ordered[at][1] <= s:
             at += 1
-        out.kinds.append(next((k + 1 for a, b, k in ordered[at : at + 4] if a < e and b > s), 0))
+        inside = next((j for j, (a, b, _) in enumerate(ordered[at : at + 4], at) if a < e and b > s), -1)
+        out.kinds.append(ordered[inside][2] + 1 if inside >= 0 else 0)
+        if NUMERIC.match(token):
+            if last == i - 1 and runs and runs[-1][0] == inside and runs[-1][1][-1] == node - 1:
+                runs[-1][1].append(node)
+            else:
+                runs.append((inside, [node]))
         out.spans.append((s, e))
         if last == i - 1:
             out.chain.append((node - 1, node))
         last = i
         key = similar_key(token)
-        out.keys.append([] if key is None else [key])
+        out.keys.append([] if key is None else [f"t{key}"])
+    _number_keys(out, text, runs)
     _link(out)
     return out
 
 
+def _number_keys(tokens: Tokens, text: str, runs: list[tuple[int, list[int]]]) -> None:
+    """Give the tokens of numbers that share their last digits a common key."""
+    digits = [re.sub("[^0-9]", "", text[s:e]) for s, e in tokens.spans]
+    anchors: dict[str, str] = {}
+    for inside, nodes in runs:
+        number = "".join(digits[i] for i in nodes)
+        if inside >= 0 and len(number) >= SUFFIX:
+            key = number[-SUFFIX:]
+            anchors[key] = max(anchors.get(key, ""), number, key=len)
+            for i in nodes:
+                tokens.keys[i].append(f"s{key}")
+    for inside, nodes in runs:
+        if inside >= 0:
+            continue
+        # a number may end at any token of the run
+        tail, supported = "", False
+        for at, node in enumerate(nodes):
+            tail = (tail + digits[node])[-20:]
+            key = tail[-SUFFIX:]
+            if len(key) < SUFFIX or key not in anchors:
+                continue
+            supported, known = True, anchors[key]
+            common = next((n for n, (a, b) in enumerate(zip(reversed(tail), reversed(known))) if a != b), min(len(tail), len(known)))
+            while at >= 0 and common > 0:
+                if f"s{key}" not in tokens.keys[nodes[at]]:
+                    tokens.keys[nodes[at]].append(f"s{key}")
+                common -= len(digits[nodes[at]])
+                at -= 1
+                if at >= 0 and len(digits[nodes[at]]) > common:
+                    break
+        number = "".join(digits[i] for i in nodes)
+        if not supported and len(number) >= SUFFIX:
+            for i in nodes:
+                tokens.keys[i].append(f"r{number}")
+
+
 def _link(tokens: Tokens) -> None:
     """Link the tokens of each key to the first of them in a base span, or else to the first of all."""
     groups: dict[str, list[int]] = {}
     for node, keys in enumerate(tokens.keys):
         for key in keys:
             groups.setdefault(key, []).append(node)
-    for nodes in groups.values():
+    for key, nodes in groups.items():
         hub = next((i for i in nodes if tokens.kinds[i]), nodes[0])
-        tokens.skip += [(hub, i) for i in nodes if i != hub]
+        links = tokens.number if key[0] == "s" else tokens.skip
+        links += [(hub, i) for i in nodes if i != hub]
 
 
 @dataclass
@@ -203,13 +255,14 @@ def marginals(field: Field, docs: list[Tokens]) -> np.ndarray:
     score = np.where((kinds > 0)[:, None], np.where(np.arange(labels)[None] == kinds[:, None], 0.0, -12.0), score - score.max(1, keepdims=True))
     node = np.exp(np.maximum(score, -12.0))
     links = [(start[i] + a, start[i] + b, 0) for i, d in enumerate(docs) for a, b in d.chain] + [(start[i] + a, start[i] + b, 1) for i, d in enumerate(docs) for a, b in d.skip]
+    links += [(start[i] + a, start[i] + b, 2) for i, d in enumerate(docs) for a, b in d.number]
     belief = node / node.sum(1, keepdims=True)
     if not links:
         return belief
     ends = np.array(links, np.int64)
     source = np.r_[ends[:, 0], ends[:, 1]]
     target = np.r_[ends[:, 1], ends[:, 0]]
-    both = np.exp(np.stack([field.chain, field.skip]))
+    both = np.exp(np.stack([field.chain, field.skip, SAME_NUMBER * np.eye(labels)]))
     potential = np.concatenate([both[ends[:, 2]], both[ends[:, 2]].transpose(0, 2, 1)])
     reverse = np.r_[np.arange(len(ends)) + len(ends), np.arange(len(ends))]
     message = np.full((len(source), labels), 1.0 / labels)
@@ -236,12 +289,12 @@ def marginals(field: Field, docs: list[Tokens]) -> np.ndarray:
 
 
 def further_spans(tokens: Tokens, belief: np.ndarray) -> list[Span]:
-    """Confident tokens outside base spans that are linked, by similarity, to a token inside one."""
+    """Tokens outside base spans: confident ones that are similar to a token inside one, and very confident ones."""
     known = {(key, k) for keys, k in zip(tokens.keys, tokens.kinds, strict=True) if k for key in keys}
     out = []
     for i, (s, e) in enumerate(tokens.spans):
         k = int(belief[i].argmax())
-        if tokens.kinds[i] == 0 and k and belief[i, k] >= CONFIDENT and any((key, k) in known for key in tokens.keys[i]):
+        if tokens.kinds[i] == 0 and k and (belief[i, k] >= CONFIDENT_ALONE or belief[i, k] >= CONFIDENT and any((key, k) in known for key in tokens.keys[i])):
             out.append((k - 1, s, e))
     return out
 
@@ -268,8 +321,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
         for rows in batches(it, 4 << 20):
             texts = [t or "" for t in rows.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
-            # without a base span no token can find support, so only these documents need the field
-            some = [i for i, b in enumerate(base) if b]
+            some = [i for i, t in enumerate(texts) if INTERESTING.search(t)]
             tokens = [tokens_of(texts[i], base[i]) for i in some]
             belief = marginals(field, tokens) if any(t.spans for t in tokens) else np.empty((0, len(KINDS) + 1))
             more: dict[int, list[Span]] = {}

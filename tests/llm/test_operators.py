@@ -347,6 +347,33 @@ def test_support_reaches_all_mentions():
         assert [(text[s:e], pii.KINDS[k]) for k, s, e in spans] == [("555-6408", "phone")] * 50
 
 
+def test_numbers_without_an_equal_token():
+    from scriptorium.llm import pii
+
+    rng = random.Random(1)
+    number = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    field = pii.train([f"word {number()} word {rng.randint(1, 99)} text a{k}@mail.example.com" for k in range(150)])
+    cases = {
+        "call (344) 555-6408 now": ["(344)", "555-6408"],  # no base span
+        "first +13445556408 later 3445556408 end": ["3445556408"],
+        "first +1 344 555 6408 then 344 555 6408 end": ["344", "555", "6408"],
+        "from 344 555 6408 12 to +1 (344) 555-6408 end": ["344", "555", "6408"],
+        "in 1999 there were 120 of 3400 and 12-34": [],
+    }
+    for text, want in cases.items():
+        nodes = pii.tokens_of(text, pii.base_spans(text))
+        spans = pii.further_spans(nodes, pii.marginals(field, [nodes]))
+        assert [(text[s:e], pii.KINDS[k]) for k, s, e in spans] == [(x, "phone") for x in want], text
+
+
+def test_no_base_span_is_needed(spark):
+    from scriptorium.llm import pii
+
+    field = pii.train([f"word +1 ({200 + k}) 555-{1000 + 7 * k} word {k % 90} text a{k}@mail.example.com" for k in range(150)])
+    got = pii.find_personal_data(spark.createDataFrame([(1, "call (344) 555-6408 now")], "doc_id long, text string"), field).first()
+    assert (got["n_phone"], got["n_further"], got["spans"]) == (0, 2, "phone:5:10,phone:11:19")
+
+
 def test_language_id(spark, docs, rows, empty):
     from scriptorium.llm.langid import Labeller, fit, identify, train
 
