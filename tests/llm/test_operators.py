@@ -276,6 +276,23 @@ def test_license_scan(spark, docs, rows, empty):
     assert scan_licenses(docs).count() == len(rows) and scan_licenses(empty).count() == 0
 
 
+def test_license_bodies_and_statements(spark):
+    from scriptorium.llm.licenses import scan_licenses
+
+    bodies = {
+        "mit": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        "apache-2": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "gpl-3": "No covered work shall be deemed part of an effective technological measure under any applicable law fulfilling obligations under article 11 of the WIPO copyright treaty adopted on 20 December 1996, or similar laws prohibiting or restricting circumvention of such measures.",
+    }
+    rng = random.Random(2)
+    texts = [(label, f"{words(rng, 150)} {body} {words(rng, 90)}") for label, body in bodies.items()]
+    texts += [("", "Released under the GPL License."), ("mpl-2", "Licensed under the Mozilla Public License, Version 2.0"), ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")]
+    texts += [("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"), ("gpl-2", "This work is licensed under the GNU General Public License, version 2."), ("mit", "Released under the MIT License.")]
+    texts += [("", "Released in may, this museum " + words(rng, 90) + " under the roof a License MIT")]
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [label for label, _ in texts]
+
+
 def test_set_similarity_filters_lose_nothing():
     from scriptorium.llm.licenses import build_templates, join_blocks
 
