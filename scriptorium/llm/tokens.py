@@ -204,7 +204,7 @@ class ChunkIds(dict):
 
     A space before a visible character always opens a new pre-token of a byte-level BPE, so a text's ids are the
     concatenation of its chunks' ids; a key is a chunk without that space. Words and stops of plain chunks are pre-tokens of
-    their own, which go straight to the tokenizer's model. The bound keeps a worker's memory flat.
+    their own, which go straight to the tokenizer's model. Texts that hold the string of an added token never come here. The bound keeps a worker's memory flat.
     """
 
     LIMIT = 700_000
@@ -216,7 +216,8 @@ class ChunkIds(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library finds in a text before it is cut into pre-tokens: a text that may hold one is encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         # the byte alphabet, as the library itself spells each byte of a one-character text
         spelled = {}
@@ -269,7 +270,13 @@ def encode_texts(texts: pa.Array, cache: ChunkIds) -> list[np.ndarray]:
     """Ids of each whole text (null: none). Chunks are split and numbered by Arrow; Python sees each distinct one once."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-    todo = [(np.arange(len(texts)), pc.split_pattern(texts, " "))]
+    rows = np.arange(len(texts))
+    special = np.zeros(len(texts), bool)
+    for content in cache.added:
+        special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+    for row in rows[special].tolist():
+        out[row] = np.array(cache.tokenizer.encode(texts[row].as_py(), add_special_tokens=False).ids, np.uint32)
+    todo = [(rows[~special], pc.split_pattern(texts.filter(pa.array(~special)), " "))]
     while todo:
         rows, split = todo.pop()
         if not len(rows):

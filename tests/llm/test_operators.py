@@ -107,6 +107,21 @@ def test_encoder_equals_library():
     check()
 
 
+def test_added_tokens_in_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from scriptorium.llm.tokens import encode_texts, encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain text", None, "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", ""]
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encode_texts(pa.array(texts), encoder(path))] == want
+    assert [x.tolist() for x in encode_texts(pa.array(texts[:1]), encoder(path))] == want[:1] and 50256 in want[0]
+
+
 def test_weighted_mix(spark, docs, rows, empty):
     from scriptorium.llm.mixing import mix, schedule
 
