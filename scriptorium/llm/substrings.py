@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against everything that comes earlier.
+"""Substring dedup by hashed windows against everything that comes earlier, in place of a relative Lempel-Ziv parse.
 
 The reference of a document is all text before it: documents with a smaller ``doc_id``, and its own earlier words. The
 reference's blocks are indexed by content: every run of windows (``WINDOW`` consecutive words) that shares a minimizer, the
 smallest hash of the ``GRAM``-word pieces within, goes to the bucket of that minimizer, so equal windows meet wherever they
 stand. A bucket finds each window's first occurrence; later ones become factors that point back to it,
-extended as far as source and copy run in step. A document is then parsed into its factors, longest first at
-each place; windows that lie across the boundary of two factors are checked like all others, so a word is removed exactly
-if some window that covers it starts earlier elsewhere.
+joined while source and copy run in step within the bucket. Nothing is parsed greedily: factors break where the bucket
+changes, and their windows' words are summed, so a word is removed exactly if some window that covers it starts earlier elsewhere.
 
 Repeats inside a block of documents are settled where they are read and never shuffled, so a window that stands in every
 document costs each block one entry. Null text has no words. A null ``doc_id`` comes after all others. Rows that repeat a ``doc_id`` count
