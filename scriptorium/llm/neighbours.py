@@ -15,6 +15,7 @@ than the longest. Ties go to the smaller id. Repeated rows of one id count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,7 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    longest = rows.agg(F.max(F.size("v")).alias("n")).first()["n"] or 0
-    return rows.where(F.size("v") == longest).dropDuplicates(["vec_id"])
+    return rows.dropDuplicates(["vec_id"])
 
 
 def _unit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +234,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found of each query: rows whose id ``every`` divides."""
+    """query_id, rank, vec_id and score of the k nearest found of each query: rows whose id ``every`` divides.
+
+    Vectors are compared with those of their own length.
+    """
     rows = materialize(valid_vectors(df, key, vector), "vectors")
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect()) or [0]
+    return reduce(DataFrame.union, [_nearest(rows.where(F.size("v") == n) if len(lengths) > 1 else rows, k, every, beam) for n in lengths])
+
+
+def _nearest(rows: DataFrame, k: int, every: int, beam: int) -> DataFrame:
+    """The search among vectors of one length."""
     members, nodes = nodes_of(rows)
     graph = descend(nodes, nodes.count())
     asked = members.where(F.pmod("vec_id", F.lit(every)) == 0)

@@ -512,6 +512,14 @@ def test_nearest_neighbours(spark):
     assert not nearest(few.where("vec_id = 0")).collect()
 
 
+def test_nearest_neighbours_of_each_length(spark):
+    from scriptorium.llm.neighbours import nearest
+
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 0.1, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 2), (50, 1, 51)]
+
+
 def test_registered_queries():
     from scriptorium.llm import entries
 
