@@ -17,7 +17,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import batches
+from scriptorium.llm.words import batches, tidy
 from scriptorium.session import fresh_path
 
 #: Token ids a segment may hold before it is closed (a longer document is a segment of its own).
@@ -189,28 +188,27 @@ def _sampled(plane: np.ndarray) -> np.ndarray:
 #: Letters that may be cut from what follows: pre-tokens of a byte-level BPE never run from a letter into a non-letter.
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A text may be cut at a space before a visible character.
-VISIBLE = re.compile(r"[!-~À-ÿ]")
 CUT = re.compile(r" (?=[!-~À-ÿ])")
 #: Chunks that fall into words, stops and line breaks; all others are encoded as they are.
 PLAIN = re.compile(rf" ?[{LETTER}]+[.,;:!?]*(?:\n[{LETTER}]+[.,;:!?]*)*\Z")
 STOPS = frozenset(".,;:!?")
 PIECE = re.compile(rf" ?[{LETTER}]+|[.,;:!?]+|\n")
-#: Marks a text's first chunk, which no space precedes.
+#: Marks a chunk that no space precedes: a text's first one, and stops after a word.
 HEAD = "\x00"
 
 
-class ChunkIds(dict):
-    """A chunk of text -> its ids as little-endian unsigned 32-bit bytes.
+class ChunkIds:
+    """Chunks of text and their ids, remembered up to a bound, in Arrow and NumPy alone.
 
     A space before a visible character always opens a new pre-token of a byte-level BPE, so a text's ids are the
     concatenation of its chunks' ids; a key is a chunk without that space. Words and stops of plain chunks are pre-tokens of
-    their own, which go straight to the tokenizer's model. Texts that hold the string of an added token never come here. The bound keeps a worker's memory flat.
+    their own, which go straight to the tokenizer's model. Texts that hold the string of an added token never come here.
+    When the bound is reached, the chunks that were met only once since the last time are forgotten.
     """
 
-    LIMIT = 700_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run one task a core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -225,35 +223,67 @@ class ChunkIds(dict):
             word = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0]
             spelled.update(zip(c.encode(), word, strict=True))
         self.spelling = {byte: ord(letter) for byte, letter in spelled.items()}
+        self.forget()
 
-    def word(self, key: str) -> bytes:
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.sizes, self.met = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def word(self, key: str) -> list[int]:
         """Ids of one pre-token."""
         text = key[1:] if key[0] == HEAD else " " + key
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.spelling))]).tobytes()
-
-    def learn(self, keys: list[str]) -> None:
-        fresh = [k for k in keys if k not in self]
-        if len(self) + 2 * len(fresh) > self.LIMIT:
-            self.clear()
-            fresh = keys
-        odd = []
-        for key in fresh:
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.spelling))]
+
+    def spell(self, keys: list[str]) -> list[list[int]]:
+        """Ids of each chunk, from the library."""
+        parts: dict[str, list[int]] = {}
+
+        def part(key: str) -> list[int]:
+            found = parts.get(key)
+            if found is None:
+                found = parts[key] = self.word(key)
+            return found
+
+        out: list[list[int]] = []
+        odd: list[tuple[int, str]] = []
+        for key in keys:
             if key.isalpha():
-                self[key] = self.word(key)
+                out.append(part(key))
             elif key[-1:] in STOPS and key[:-1].isalpha():
-                head = self.get(key[:-1]) or self.setdefault(key[:-1], self.word(key[:-1]))
-                self[key] = head + (self.get(HEAD + key[-1]) or self.setdefault(HEAD + key[-1], self.word(HEAD + key[-1])))
+                out.append(part(key[:-1]) + part(HEAD + key[-1]))
             else:
                 text = key[1:] if key[:1] == HEAD else " " + key
-                if not PLAIN.match(text):
-                    odd.append((key, text))
-                    continue
-                parts = [x[1:] if x[0] == " " else HEAD + x for x in PIECE.findall(text)]
-                self[key] = b"".join([self.get(x) or self.setdefault(x, self.word(x)) for x in parts])
+                if PLAIN.match(text):
+                    out.append([i for x in PIECE.findall(text) for i in part(x[1:] if x[0] == " " else HEAD + x)])
+                else:
+                    odd.append((len(out), text))
+                    out.append([])
         for at in range(0, len(odd), 4096):
-            part = odd[at : at + 4096]
-            for (key, _), e in zip(part, self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                self[key] = array("I", e.ids).tobytes()
+            some = odd[at : at + 4096]
+            for (n, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                out[n] = e.ids
+        return out
+
+    def learn(self, keys: pa.Array) -> None:
+        """Append the ids of chunks that are not known yet."""
+        found = self.spell(keys.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), "<u4", int(sizes.sum()))])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
+        self.known = pa.concat_arrays([self.known, keys.cast(pa.large_string())])
+
+    def trim(self) -> None:
+        """Above the bound, keep what was met again and again."""
+        if len(self.known) <= self.LIMIT:
+            return
+        keep = self.met > 1
+        if 2 * int(keep.sum()) > self.LIMIT:
+            self.forget()
+            return
+        self.ids = self.ids[np.repeat(keep, self.sizes)]
+        self.known = self.known.filter(pa.array(keep))
+        self.sizes, self.met = self.sizes[keep], np.zeros(int(keep.sum()), np.int64)
 
 
 _TOKENIZERS: dict[str, ChunkIds] = {}
@@ -267,12 +297,12 @@ def encoder(path: str) -> ChunkIds:
 
 
 def encode_texts(texts: pa.Array, cache: ChunkIds) -> list[np.ndarray]:
-    """Ids of each whole text (null: none). Chunks are split and numbered by Arrow; Python sees each distinct one once."""
+    """Ids of each whole text (null: none). Chunks are split and looked up by Arrow; Python sees only those not met before."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
     rows = np.arange(len(texts))
     special = np.zeros(len(texts), bool)
-    for content in cache.added:
+    for content in (*cache.added, HEAD):
         special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
     for row in rows[special].tolist():
         out[row] = np.array(cache.tokenizer.encode(texts[row].as_py(), add_special_tokens=False).ids, np.uint32)
@@ -283,29 +313,35 @@ def encode_texts(texts: pa.Array, cache: ChunkIds) -> list[np.ndarray]:
             continue
         starts = split.offsets.to_numpy()[:-1] - split.offsets[0].as_py()
         flat = split.flatten()
-        coded = flat.dictionary_encode()
-        codes, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
-        codes[starts] = len(distinct) + np.arange(len(starts))
-        # a chunk that no visible character begins was cut where a text can't be: its text is cut again, with more care
-        uncut = np.zeros(len(distinct) + len(starts), bool)
-        uncut[: len(distinct)] = [not VISIBLE.match(k) for k in distinct]
-        if uncut.any() and (again := np.logical_or.reduceat(uncut[codes], starts)).any():
-            redo, fine = np.flatnonzero(again), np.flatnonzero(~again)
-            careful = pa.array([CUT.split(t) for t in texts.take(pa.array(rows[redo])).to_pylist()], pa.large_list(pa.large_string()))
-            todo += [(rows[redo], careful), (rows[fine], split.take(pa.array(fine)))]
-            continue
-        keys = distinct + [HEAD + t for t in flat.take(pa.array(starts)).to_pylist()]
-        cache.learn(keys)
-        values = list(map(cache.__getitem__, keys))
-        ids = np.frombuffer(b"".join(values), "<u4")
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        at = (np.cumsum(sizes) - sizes)[codes]
-        n = sizes[codes]
+        first = np.zeros(len(flat), bool)
+        first[starts] = True
+        heads = pc.binary_join_element_wise(pa.scalar(HEAD, pa.large_string()), flat.take(pa.array(starts)), pa.scalar("", pa.large_string()))
+        flat = pc.replace_with_mask(flat, pa.array(first), heads)
+        coded = pc.index_in(flat, value_set=cache.known)
+        codes = coded.fill_null(-1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            fresh = flat.take(pa.array(unknown)).dictionary_encode()
+            # a chunk that no visible character begins was cut where a text can't be: its text is cut again, with more care
+            cut = ~pc.match_substring_regex(fresh.dictionary, "^[!-~À-ÿ\x00]").to_numpy(zero_copy_only=False)
+            if cut.any():
+                wrong = unknown[cut[fresh.indices.to_numpy()]]
+                again = np.unique(np.searchsorted(starts, wrong, "right") - 1)
+                fine = np.setdiff1d(np.arange(len(rows)), again)
+                careful = pa.array([CUT.split(t) for t in texts.take(pa.array(rows[again])).to_pylist()], pa.large_list(pa.large_string()))
+                todo += [(rows[again], careful), (rows[fine], split.take(pa.array(fine)))]
+                continue
+            codes[unknown] = len(cache.known) + fresh.indices.to_numpy()
+            cache.learn(fresh.dictionary)
+        cache.met += np.bincount(codes, minlength=len(cache.met))
+        n = cache.sizes[codes]
         ends = np.cumsum(n)
-        found = ids[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]))]
+        at = (np.cumsum(cache.sizes) - cache.sizes)[codes]
+        found = cache.ids[np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]))]
         edges = np.r_[(ends - n)[starts], len(found)]
         for row, a, b in zip(rows.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             out[row] = found[a:b]
+        cache.trim()
     return out
 
 
@@ -325,7 +361,7 @@ def _write_segments(source: Iterator[pa.RecordBatch], path: str, end_id: int) ->
         kinds = {"part": pa.int32(), "seg": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in kinds.items()], list(kinds))
 
-    for rows in batches(source, 8 << 20):
+    for rows in batches(source, 6 << 20):
         for doc, one, part in zip(rows.column("doc_id").to_pylist(), encode_texts(rows.column("text").combine_chunks(), cache), rows.column("part").to_pylist(), strict=True):  # noqa: B020
             docs.append(doc)
             held.append(np.concatenate([one, end]))
@@ -341,7 +377,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode every whole text and write the shard files, in ascending ``doc_id`` order."""
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = ranged.repartitionByRange(shards, F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    files = ranged.mapInArrow(lambda it: _write_segments(it, tokenizer_path, end_id), FILE_SCHEMA)
+    files = ranged.mapInArrow(tidy(lambda it: _write_segments(it, tokenizer_path, end_id)), FILE_SCHEMA)
     files.write.option("compression", "none").parquet(path)
 
 
@@ -368,7 +404,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("part_start"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_ids")
     offsets = sizes.withColumn("seg_start", inside).join(parts, "part").select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("offset"))
-    decoded = files.select("part", "seg", "doc_ids", "lengths", "payload").mapInArrow(_read_segments, "part int, seg int, idx int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    decoded = files.select("part", "seg", "doc_ids", "lengths", "payload").mapInArrow(tidy(_read_segments), "part int, seg int, idx int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return decoded.join(offsets, ["part", "seg"]).select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
