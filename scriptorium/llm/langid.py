@@ -5,11 +5,12 @@ its affixes, its character n-grams and its place in the languages' lexicons of f
 matrix ties neighbours, and forward-backward gives every word's posterior, so
 code-switched text gets its languages word by word. A document's language is the one with most posterior mass.
 
-Training words come from a bounded, documented sample of labelled rows (``Sample``); sequences that join
+Training words come from a bounded, documented sample of labelled rows (``Sample``, of the ``MAX_LANGUAGES`` most frequent labels); sequences that join
 pieces of documents in different languages teach the transitions. Prediction runs over whole texts.
 
 Null or letterless text gets ``und`` with score 0, as does everything when no row is labelled. Ties go to the
-language that sorts first. Repeated rows get equal answers.
+language that sorts first. Repeated rows get equal answers, an empty table none; a long text is taken whole, in memory linear in its
+length. Columns other than those named are not read, so further ones may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import batches
+from scriptorium.llm.words import batches, tidy
 
 UNDETERMINED = "und"
 #: A word: a run of word characters but digits and underscores.
@@ -33,7 +34,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 DIMENSIONS = 1 << 16
 #: Words in a step of the two-level forward-backward.
 STRIDE = 32
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
+#: Languages that a model can tell apart: the most frequent ones of the labelled rows.
+MAX_LANGUAGES = 200
 
 
 @dataclass(frozen=True)
@@ -256,13 +259,13 @@ class Labeller:
 def sample_rows(docs: DataFrame, bound: Sample) -> list[tuple[str, str]]:
     """The bounded training sample, by a hash of ``doc_id``; at least one row of each language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     quota = max(1, min(bound.per_language, bound.documents // max(1, len(counts))))
     share = {lang: min(1.0, 2 * quota / n) for lang, n in counts.items()}
     if not share:
         return []
     wanted = F.element_at(F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    hashed = F.pmod(F.xxhash64("doc_id", F.lit(bound.seed)), F.lit(1_000_000)) / 1e6
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit(bound.seed)), F.lit(1 << 52)) / float(1 << 52)
     near = labelled.withColumn("__h", hashed).where(F.col("__h") < wanted).withColumn("__long", F.octet_length("text") > bound.document_bytes)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("__long", "__h", "doc_id"))
     kept = near.withColumn("__n", nth).where((F.col("__n") <= quota) & (~F.col("__long") | (F.col("__n") == 1)))
@@ -282,11 +285,13 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     if not model.languages:
         return source.select(*keep, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
+        labeller = Labeller(shared.value)
         for rows in batches(it, 2 << 20):
             langs, scores = labeller.predict([t or "" for t in rows.column("text").to_pylist()])
             out = rows.select(list(keep)).append_column(names[0], pa.array(langs)).append_column(names[1], pa.array(scores))
             yield from out.to_batches()
 
-    return source.mapInArrow(apply, schema)
+    return source.mapInArrow(tidy(apply), schema)
