@@ -10,7 +10,9 @@ marginal reaches ``CONFIDENT_ALONE``, whatever the rest of the document holds; b
 
 The potentials are trained piece by piece on a bounded sample of documents (``SAMPLE_DOCUMENTS`` of at most
 ``SAMPLE_BYTES`` each), labelled by the base patterns. Similar tokens are linked to one of them, the first in a base span if there is
-one, so a document's graph is linear in its length and no mention is far from its support. Messages pass until each document's have settled. Null text counts as empty. Repeated rows get equal answers.
+one, so a document's graph is linear in its length and no mention is far from its support. Messages pass until each document's have settled. Null text counts as empty.
+Repeated rows get equal answers, an empty table none. Long texts and long tokens are taken whole, in linear time. Columns other than
+``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import batches
+from scriptorium.llm.words import batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENT, CONFIDENT_ALONE = 0.9, 0.98
@@ -46,8 +48,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 INTERESTING = re.compile(r"[0-9@]")
-DOTTED = re.compile(r"[0-9.]+")
-ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9.]*)?")
+ADDRESS = re.compile(r"[A-Za-z0-9._%+@-]+")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 NUMERIC = re.compile(r"[(+]*[0-9][0-9().+-]*[,;:.!?)]*\Z")
 Span = tuple[int, int, int]
@@ -58,30 +62,44 @@ def luhn(digits: str) -> bool:
     return sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(values)) % 10 == 0
 
 
+def _emails(run: str, offset: int) -> Iterator[Span]:
+    """Addresses in a run of address characters."""
+    free, at = 0, run.find("@")  # where the next address may start
+    while at >= 0:
+        domain = DOMAIN.match(run, at + 1)
+        if domain and LOCAL.fullmatch(run, free, at):
+            yield 0, offset + free, offset + domain.end()
+            free = domain.end()
+            at = run.find("@", free)
+        else:
+            free = at + 1
+            at = run.find("@", free)
+
+
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) of the base patterns' matches that pass their checks, by kind, then place.
 
-    E-mail and IP patterns run only inside stretches of their own characters that can hold a match, which gives the same
-    matches in linear time.
+    An e-mail address starts where its run of local characters does, and an IP address with a group of digits, so both are found by
+    cutting runs at their @ and dots: the same matches as the patterns', in time linear in the text.
     """
     out: list[Span] = []
     if not INTERESTING.search(text):
         return out
-    at = text.find("@")
-    while at >= 0:
-        lo = hi = at
-        while lo and text[lo - 1] in ADDRESS:
-            lo -= 1
-        while hi < len(text) and text[hi] in ADDRESS:
-            hi += 1
-        out += [(0, lo + m.start(), lo + m.end()) for m in EMAIL.finditer(text[lo:hi])]
-        at = text.find("@", hi)
+    if "@" in text:
+        for run in ADDRESS.finditer(text):
+            out += _emails(run.group(), run.start())
     for run in DOTTED.finditer(text):
-        if run.group().count(".") >= 3:
-            for m in IP.finditer(run.group()):
-                parts = [p.lstrip("0") for p in m.group().split(".")]
+        groups, at, i = run.group().split("."), run.start(), 0
+        while i + 3 < len(groups):
+            four = groups[i : i + 4]
+            if all(four):
+                size = sum(map(len, four)) + 3
+                parts = [p.lstrip("0") for p in four]
                 if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
-                    out.append((1, run.start() + m.start(), run.start() + m.end()))
+                    out.append((1, at, at + size))
+                i, at = i + 4, at + size + 1
+            else:
+                i, at = i + 1, at + len(groups[i]) + 1
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -185,8 +203,9 @@ def _number_keys(tokens: Tokens, text: str, runs: list[tuple[int, list[int]]]) -
                     break
         number = "".join(digits[i] for i in nodes)
         if not supported and len(number) >= SUFFIX:
+            key = f"r{number}"
             for i in nodes:
-                tokens.keys[i].append(f"r{number}")
+                tokens.keys[i].append(key)
 
 
 def _link(tokens: Tokens) -> None:
@@ -208,7 +227,7 @@ class Field:
     skip: np.ndarray
 
 
-def _association(pairs: list[tuple[int, int]], labels: int, prior: np.ndarray) -> np.ndarray:
+def _association(pairs: list[tuple[int, int]], labels: int) -> np.ndarray:
     """Log association of the two labels of a link, smoothed; equal labels are favoured a priori."""
     counts = np.full((labels, labels), 0.5) + 2.0 * np.eye(labels)
     for a, b in pairs:
@@ -238,9 +257,8 @@ def train(texts: list[str], epochs: int = 30, seed: int = 3) -> Field:
             mean += 0.1 * (g - mean)
             square += 0.01 * (g * g - square)
             weights -= 0.1 * (mean / (1 - 0.9**tick)) / (np.sqrt(square / (1 - 0.99**tick)) + 1e-6)
-    prior = np.bincount(kinds, minlength=labels) + 1.0
-    chain = _association([(d.kinds[a], d.kinds[b]) for d in docs for a, b in d.chain], labels, prior)
-    skip = _association([(d.kinds[a], d.kinds[b]) for d in docs for a, b in d.skip], labels, prior)
+    chain = _association([(d.kinds[a], d.kinds[b]) for d in docs for a, b in d.chain], labels)
+    skip = _association([(d.kinds[a], d.kinds[b]) for d in docs for a, b in d.skip], labels)
     return Field(weights, chain, skip)
 
 
@@ -307,8 +325,8 @@ def fit(docs: DataFrame) -> Field:
     """Train on a bounded sample, by a hash of ``doc_id``, of documents with digits or @."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES))
     n = rows.count()
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    near = rows.where(h < int(1e6 * min(1.0, 1.2 * SAMPLE_DOCUMENTS / max(n, 1)))).orderBy(h, "doc_id").limit(SAMPLE_DOCUMENTS)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    near = rows.where(h < int((1 << 62) * min(1.0, 1.2 * SAMPLE_DOCUMENTS / max(n, 1)))).orderBy(h, "doc_id").limit(SAMPLE_DOCUMENTS)
     return train([r["text"] for r in near.collect()])
 
 
@@ -337,4 +355,4 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_further long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(apply, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(apply), schema)
