@@ -3,12 +3,15 @@
 Each source is a queue of its documents in shuffled order, played up to ``max_repeats`` times. A
 document's virtual finish time is its source's cumulative size divided by the source's weight. Serving
 in order of virtual finish time and stopping at the budget gives every source its weighted share;
-a source that runs dry leaves its share to the others by weight. The virtual time of the cut follows in
-closed form from the sources' sums, so the cut needs no global running sum.
+a source that runs dry leaves its share to the others by weight. The virtual time at which the total budget is
+spent follows in closed form from the sources' sums: one number, at which the order of all plays is truncated without a global
+running sum.
 
-A copy that straddles its source's cut is taken whole if at least half of it lies before the cut, so a
+A play that straddles the cut is taken whole if at least half of it lies before, so a
 source's taken words miss its target by half a document at most. Null text has size 0; null
-``source`` is a source of its own, ordered last. Repeated rows are separate documents.
+``source`` is a source of its own, ordered last. Ties in the shuffled order go by ``doc_id``, then by a hash of the row. Repeated rows are
+separate documents. An empty table gives an empty mix. Only the number of a text's words enters, whatever its length. Further columns
+stay as they are; names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, max_repeats: int) -> DataFrame:
-    """Per source: weight, size and target. Works on one row per source.
+    """Per source: weight, size, target, and the virtual time of the cut, which all share. Works on one row per source.
 
     A source is full at virtual time cap / weight. With the sources in that order, the budget's
     virtual time lies where the capped sum of all first reaches the budget.
@@ -49,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ma
     open_ = F.sum(F.when(~F.col("done"), F.col("weight"))).over(every)
     per = per.withColumn("cut", (F.col("budget") - spent) / open_)
     target = F.when(F.col("done") | F.col("cut").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("cut") * F.col("weight")))
-    return per.select("source", "source_size", "weight", target.alias("target"))
+    return per.select("source", "source_size", "weight", target.alias("target"), F.coalesce("cut", F.lit(float("inf"))).alias("cut"))
 
 
 def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, max_repeats: int = 2, seed: int = 17) -> DataFrame:
@@ -58,7 +61,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     The running sum of a source goes over buckets of its shuffled order, so that a source with any share
     of all rows spreads over many tasks.
     """
-    narrow = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    narrow = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_print(docs).alias("row_print")), "sizes")
     n = narrow.count()
     buckets = max(128, -(-n // BUCKET_ROWS))
     hashed = narrow.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)))
@@ -66,27 +69,46 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: floa
     before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
     targets = source_targets(sums.select("source", F.col("bucket_size").alias("size")), weights, budget, max_repeats)
     offsets = sums.withColumn("before", before).alias("a").join(targets.alias("t"), F.col("a.source").eqNullSafe(F.col("t.source")))
-    offsets = offsets.select(F.col("a.source").alias("o_source"), F.col("bucket").alias("o_bucket"), "before", "source_size", "weight", "target")
-    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    offsets = offsets.select(F.col("a.source").alias("o_source"), F.col("bucket").alias("o_bucket"), "before", "source_size", "weight", "target", "cut")
+    inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "row_print").rowsBetween(Window.unboundedPreceding, 0))
     placed = hashed.withColumn("inside", inside)
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["o_source"]) & (placed["bucket"] == offsets["o_bucket"]))
     finish = F.col("before") + F.col("inside")
     placed = placed.withColumn("finish", finish).withColumn("virtual_finish", finish / F.col("weight"))
-    middle = F.col("finish") - F.col("size") / 2.0
-    copies = sum(((middle + k * F.col("source_size") <= F.col("target")).cast("int") for k in range(max_repeats)), F.lit(0))
+    middle = lambda k: (F.col("finish") + k * F.col("source_size") - F.col("size") / 2.0) / F.col("weight")
+    copies = sum(((middle(k) <= F.col("cut")).cast("int") for k in range(max_repeats)), F.lit(0))
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0))
-    return placed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "weight", "target", "virtual_finish", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    placed = placed.withColumn("copies", copies).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    return placed.select("doc_id", "source", "size", "source_size", "weight", "target", "virtual_finish", "copies", "taken", "row_print")
+
+
+def row_print(docs: DataFrame) -> Column:
+    """A hash of a whole row: rows with the same one and the same ``doc_id`` are repeats of each other."""
+    values = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*values, *[v.isNull() for v in values])
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mixed stream: every taken document as often as it is taken, range-sorted by virtual finish time.
 
-    Rows that share doc_id, source and size share their schedule (the first in the order).
+    Rows find their place in the schedule by their hash. Repeated rows have one place each: one of them is joined with all those places.
     """
-    plan = schedule(docs, **options).where("copies > 0")
-    taken = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"), F.min("virtual_finish").alias("__first"), F.max(F.col("source_size") / F.col("weight")).alias("__round"))
-    rows = docs.withColumn("__n", word_count(F.col("text")))
-    joined = rows.join(taken, rows["doc_id"].eqNullSafe(taken["__id"]) & rows["source"].eqNullSafe(taken["__source"]) & (rows["__n"] == taken["__size"]))
+    key = ["__id", "__print"]
+    plan = schedule(docs, **options).select(F.col("doc_id").alias("__id"), F.col("row_print").alias("__print"), F.col("copies").alias("__copies"), F.col("virtual_finish").alias("__first"), (F.col("source_size") / F.col("weight")).alias("__round"))
+    plan = materialize(plan, "schedule")
+    per = plan.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(c) for c in ("__copies", "__first", "__round")])
+
+    def at(rows: DataFrame, places: DataFrame, how: str = "inner") -> DataFrame:
+        return rows.join(places, rows["doc_id"].eqNullSafe(places["__id"]) & (rows["__own"] == places["__print"]), how)
+
+    rows = docs.withColumn("__own", row_print(docs))
+    joined = at(rows, per.where("__n = 1 and __copies > 0").drop("__n"))
+    again = materialize(per.where("__n > 1").select(*key), "repeated")
+    if again.limit(1).count():
+        places = plan.where("__copies > 0")
+        places = places.join(again.select(F.col("__id").alias("i"), F.col("__print").alias("p")), F.col("__id").eqNullSafe(F.col("i")) & (F.col("__print") == F.col("p")), "left_semi")
+        one = at(rows, again, "left_semi").dropDuplicates(["doc_id", "__own"])
+        joined = joined.unionByName(at(one, places))
     played = joined.withColumn("__play", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     played = played.withColumn("__finish", F.col("__first") + F.col("__play") * F.col("__round"))
-    return played.repartitionByRange(F.col("__finish"), F.col("doc_id")).sortWithinPartitions("__finish", "doc_id").select(*docs.columns)
+    return played.repartitionByRange(F.col("__finish"), F.col("__own")).sortWithinPartitions("__finish", "__own").select(*docs.columns)
