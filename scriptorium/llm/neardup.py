@@ -11,8 +11,10 @@ bucket across components is compared. Pairs are listed within small buckets only
 links alone, and nothing is compared within a component.
 All links rest on whole shingle sets.
 
-Null, empty and wordless texts have the empty set and link with nothing. A null ``doc_id`` links with nothing and is its own (null)
-component. Repeated rows are copies of each other and share their id's component.
+Null, empty and wordless texts have the empty set and link with nothing. Repeated rows are copies of each other. Rows that share a
+``doc_id`` but not their text, and rows without one, are documents of their own: their classes get node ids below -2**62. A component's id is
+its smallest ``doc_id``, null if it has none; ``group_id`` tells apart components that share one. An empty table gives no rows; long texts are
+taken whole, in memory linear in their length; columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import components
-from scriptorium.llm.words import BASE, batches, hashes_of, mixed, raw_texts, rolling
+from scriptorium.llm.words import BASE, batches, hashes_of, mixed, raw_texts, rolling, tidy
 from scriptorium.session import discard, materialize
 
 SHINGLE = 5
@@ -35,6 +37,8 @@ BANDS, ROWS = 40, 6
 AT_ONCE = 1600
 #: Ids whose list may be broadcast (8 bytes each); beyond it the texts are gathered by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Stands for a null doc_id: after all others.
+LAST = (1 << 63) - 1
 #: Members above which a bucket that still holds several components is compared in cells of about CELL members a side.
 WIDE_BUCKET, CELL = 32, 256
 
@@ -74,7 +78,7 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def _sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches(it, 2 << 20):
+    for rows in batches(it, 1 << 20):
         sizes, ones, twos, keys = [], [], [], []
         for text in raw_texts(rows.column("text").combine_chunks()):
             elements = shingle_set(text)
@@ -84,8 +88,8 @@ def _sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 twos.append(int(np.bitwise_xor.reduce(mixed(elements * np.uint64(BASE))).view(np.int64)))
             keys.append(band_keys(sketch(elements)) if len(elements) else np.empty(0, np.int64))
         offsets = np.cumsum([0, *map(len, keys)])
-        arrays = [rows.column("doc_id").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "print_a", "print_b", "keys"])
+        arrays = [rows.column("doc_id").combine_chunks(), rows.column("text_print").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_print", "n_shingles", "print_a", "print_b", "keys"])
 
 
 def _verify(percent: int):
@@ -113,7 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(joined.mapInArrow(_verify(percent), "a long, b long, linked boolean"), "verified")
+    return materialize(joined.mapInArrow(tidy(_verify(percent)), "a long, b long, linked boolean"), "verified")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,22 +186,31 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, pivot_rounds: int = 3) -> DataFrame:
-    """Per document: n_shingles, component_id (smallest doc_id reachable over links) and kept."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim = materialize(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, print_a long, print_b long, keys array<long>"), "sketches")
-    named = slim.where("n_shingles > 0 and doc_id is not null")
+    """Per document: n_shingles, component_id (smallest doc_id reachable over links), kept, group_id and a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_print", F.xxhash64("text"))
+    slim = materialize(rows.mapInArrow(tidy(_sketches), "doc_id long, text_print long, n_shingles long, print_a long, print_b long, keys array<long>"), "sketches")
+    named = slim.where("n_shingles > 0")
     prints = ["n_shingles", "print_a", "print_b"]
-    classes = named.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+    # a class is a node; its id is that of its first document, unless another class has the same one, or it has none
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text_print"))
+    classes = named.groupBy(*prints).agg(first.alias("x"), F.first("keys").alias("keys")).select(*prints, F.col("x.doc_id").alias("rep"), F.col("x.text_print").alias("rep_print"), "keys")
     classes = materialize(classes, "classes")
-    exploded = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
+    taken = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("rep").union(classes.where(F.col("rep") == LAST).select("rep")).distinct()
+    clash = materialize(classes.select(*prints, "rep").join(F.broadcast(taken) if taken.count() <= BROADCAST_IDS else taken, "rep", "left_semi"), "clash")
+    if clash.limit(1).count():
+        apart = (-(1 << 62) - F.pmod(F.xxhash64(*prints), F.lit(1 << 61))).alias("own")
+        classes = materialize(classes.join(clash.select(*prints, apart), prints, "left").select(*prints, "rep", "rep_print", "keys", F.coalesce("own", "rep").alias("id")), "nodes")
+    else:
+        classes = classes.withColumn("id", F.col("rep"))
+    exploded = classes.select("id", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = materialize(exploded.join(shared, "key"), "members")
-    ids = members.select("id").distinct()
-    some = materialize(ids, "ids")
-    wanted = some.select(F.col("id").alias("doc_id"))
+    some = materialize(members.select("id").distinct(), "ids")
+    wanted = classes.select("id", F.col("rep").alias("__rep"), "rep_print").join(some, "id")
     if some.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = materialize(rows.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts").dropDuplicates(["id"])
+    texts = rows.join(wanted, (F.coalesce("doc_id", F.lit(LAST)) == F.col("__rep")) & (F.col("text_print") == F.col("rep_print"))).select("id", "text")
+    texts = materialize(texts, "texts").dropDuplicates(["id"])  # equal rows only: one text a node
     labels = some.select("id", F.col("id").alias("comp"))
 
     buckets, tested = members, None
@@ -230,10 +243,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, pivot_rounds: int = 3) -
     if links.limit(1).count():
         labels = _merged(labels, links)
 
-    moved = labels.where("id <> comp").select(F.col("id").alias("rep"), F.col("comp"))
-    by_class = classes.select(*prints, "rep").join(moved, "rep", "left").select(*prints, F.coalesce("comp", "rep").alias("component_id"))
-    out = slim.select("doc_id", *prints).join(by_class, prints, "left")
+    moved = materialize(labels.where("id <> comp"), "moved")
+    nodes = classes.select(*prints, "rep", "id").join(moved, "id", "left").select(*prints, "rep", F.coalesce("comp", "id").alias("group_id"))
+    nodes = materialize(nodes, "components")
+    # the node ids of clashing classes order otherwise than their documents' do
+    odd = nodes.where(F.col("group_id") <= -(1 << 62)).groupBy("group_id").agg(F.min("rep").alias("least"))
+    named = nodes.join(odd, "group_id", "left").select(*prints, "group_id", F.coalesce("least", "group_id").alias("component_id"))
+    out = slim.select("doc_id", "text_print", *prints).join(named, prints, "left")
     alone = F.col("n_shingles") == 0
-    component = F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(alone, F.col("doc_id")).when(F.col("component_id") != LAST, F.col("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.when(~alone, F.col("group_id")).alias("group_id"), "text_print")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "group_id", "text_print")

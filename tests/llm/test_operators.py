@@ -147,11 +147,31 @@ def test_weighted_mix(spark, docs, rows, empty):
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in order)
     assert sorted(map(str, got)) == sorted(map(str, schedule(docs).collect()))
+    plan = schedule(docs)
+    cut = min((r["virtual_finish"], r["copies"]) for r in got if r["copies"] < 2)  # serving in order of virtual time stops somewhere
+    assert all(r["copies"] == 2 for r in got if r["size"] and r["virtual_finish"] + r["source_size"] / {s: float(w) for s, w in weight.items()}[r["source"]] < cut[0])
     mixed = mix(docs)
-    assert mixed.columns == docs.columns and 0 < mixed.count()
+    assert mixed.columns == docs.columns
+    want = Counter()
+    for r in plan.collect():
+        want[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    have = Counter((r["doc_id"], r["source"], len(tokens(r["text"]))) for r in mixed.collect())
+    assert have == +want
     assert schedule(empty).count() == 0 and mix(empty).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    from scriptorium.llm.mixing import mix, schedule
+
+    rows = [(7, "a b c", "d", None)] * 600 + [(7, "a b c", "d", 1)] + [(i, words(random.Random(i), 40), "e", None) for i in range(100)] + [(None, "x y", None, 2)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    planned = {r["source"]: r["t"] for r in schedule(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    mixed = Counter()
+    for r in mix(docs).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    assert dict(mixed) == {k: v for k, v in planned.items() if v}
+
+
 def test_hilbert_shards(docs, rows, empty):
     from scriptorium.llm.hilbert import hilbert_shards
 
@@ -208,6 +228,17 @@ def test_near_duplicates(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    from scriptorium.llm.neardup import near_duplicates
+
+    t, x, u, v = ("%s one two three four five six seven eight" % w for w in "txuv")
+    rows = [(1, t), (1, t), (2, x), (3, x), (3, u), (None, u), (None, v), (None, v), (None, t), (5, ""), (None, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, 1), (1, 1), (2, 2), (3, 2), (3, 3), (None, 3), (None, None), (None, None), (None, 1), (5, 5), (None, None)]
+    assert sorted(repr((r["doc_id"], r["component_id"], r["kept"])) for r in got) == sorted(repr((a, b, a == b)) for a, b in want)
+    assert len({r["group_id"] for r in got if r["component_id"] is None} - {None}) == 1  # v's; the empty text has no group
+
+
 def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     from scriptorium.llm import neardup
 
