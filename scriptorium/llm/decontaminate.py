@@ -1,16 +1,18 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
-A text's template replaces names, numbers and units by typed placeholders and drops case and punctuation, word for
-word, so that a template's words stay aligned with the text's. All windows of the benchmark's templates meet, by hash, all windows of the
-documents' templates. Each candidate alignment of a document with an item, and its neighbours up to ``SLACK`` words away, is then
+A text's template replaces names (every capitalised word, at a sentence's start too), numbers and units by typed placeholders and drops case
+and punctuation, word for word, so that a template's words stay aligned with the text's. All windows of the benchmark's templates meet, by
+hash, all windows of the documents' templates; windows with fewer than ``LITERAL`` words besides the placeholders, as in a table of numbers,
+meet only if their values are the same, by the item's first such window. Each candidate alignment of a document with an item, and its neighbours up to ``SLACK`` words away, is then
 compared word by word. Alignments that lie close together are one occurrence, and its agreeing words, over all runs and shifts, are summed:
 an item copied with words changed, inserted or left out here and there is found by its share of agreeing words. The values that fill the
 item's slots must map to the document's consistently: a question asked again with other numbers is caught, a chance mixture of numbers is
 not. In a run they all must; in the sum, a value that goes another way than its like does not count.
 
 Most agreeing words must be literal, unless the slots hold the item's own values. Items under ``SHORT`` words must be repeated whole, with their
-own values. Null and empty texts match nothing, and rows with a null ``doc_id`` are never flagged. Repeated rows are judged alike. An empty
-benchmark flags nothing.
+own values. Null and empty texts match nothing. Rows are told apart by ``doc_id`` (which may be null) and text; repeated rows are judged alike.
+An empty benchmark flags nothing, and of equally good places the first is reported. Long texts are taken whole. Columns other than those named
+are not read; ``decontaminated`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ SHORT = 11
 LONG_RUN, SHARE = 13, 0.6
 #: Words of a run that counts in the sum; words by which alignments around a candidate are tried.
 PART, SLACK = 3, 4
-#: Rows of the benchmark's window table (16 bytes each), and of candidates, up to which they are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Literal words of a window that is looked up by its template.
+LITERAL = 3
+#: Rows of the benchmark's window table (16 bytes each), and of candidates, up to which they are broadcast; and bytes of its texts.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 SLOT = f"[{NUMBER}-{UNIT}]"
 UNITS = "kilometers|kilometres|meters|metres|miles|feet|inches|km|cm|mm|kilograms|grams|kg|mg|pounds|ounces|liters|litres|ml|hours|minutes|seconds|days|weeks|months|years|dollars|euros|cents|percent|degrees"
@@ -42,56 +48,67 @@ def _spaced(text: Column) -> Column:
 
 def template_text(text: Column) -> Column:
     """The template, one word for each white-space word of the text (a word of punctuation alone becomes empty)."""
-    x = F.regexp_replace(_spaced(text), r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}+", NAME)
+    x = F.regexp_replace(_spaced(text), r"(?<![\p{L}\p{M}'’])\p{Lu}\p{Ll}+", NAME)
     x = F.regexp_replace(x, r"[0-9]+(?:[.,:/-][0-9]+)*", NUMBER)
     x = F.regexp_replace(x, rf"(?<={NUMBER} ?)(?:{UNITS})\b", UNIT)
     return F.regexp_replace(F.lower(x), r"[^\p{L}\p{M}\x01-\x03 ]+", "")
 
 
-def _templates(df: DataFrame, key: str, extra: bool) -> DataFrame:
-    words = F.split(template_text(F.col("text")), " ")
-    columns = [F.col(key).alias(key), words.alias("words")]
-    if extra:
-        columns.append(F.split(_spaced(F.col("text")), " ").alias("values"))
-    return df.select(*columns)
+def _templates(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.split(template_text(F.col("text")), " ").alias("words"), F.split(_spaced(F.col("text")), " ").alias("values"))
 
 
-def _windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, at, h): hashes of all windows of the given sizes, by their first word."""
+def _windows(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """(keys, at, h): hashes of all windows of the given sizes, by their first word."""
     # short texts give empty arrays: a filter on their size would compute the templates twice
-    hashes = [F.expr(f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> xxhash64(slice(words, i, {n}))), cast(array() as array<bigint>))") for n in sizes]
-    return df.select(key, F.explode(F.array(*hashes)).alias("hashes")).select(key, F.posexplode("hashes").alias("nth", "h")).select(key, (F.col("nth") + 1).alias("at"), "h")
+    literal = f"size(filter(slice(words, i, {{n}}), w -> w rlike '^[^{NUMBER}-{UNIT}]+$')) >= least({LITERAL}, {{n}})"
+    one = f"if({literal}, xxhash64(slice(words, i, {{n}})), xxhash64(slice(values, i, {{n}}), 1))"
+    hashes = [F.expr(f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> {one.format(n=n)}), cast(array() as array<bigint>))") for n in sizes]
+    return df.select(*keys, F.explode(F.array(*hashes)).alias("hashes")).select(*keys, F.posexplode("hashes").alias("nth", "h")).select(*keys, (F.col("nth") + 1).alias("at"), "h")
 
 
 def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it repeats: where, how much, and whether its slots were refilled."""
-    rows = docs.select("doc_id", "text")
+    best = F.max(F.struct("run_words", (-F.col("start_word")).alias("minus_start"), "item_words", "slots", "refilled"))
+    hits = _hits(docs, benchmark).groupBy(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "item_id").agg(best.alias("x"))
+    return hits.select("doc_id", "item_id", (-F.col("x.minus_start")).alias("start_word"), "x.run_words", "x.item_words", "x.slots", "x.refilled")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As ``contaminated``, for each text apart: doc_id (NO_ID for null) and copy, a hash of the text, tell them apart."""
+    rows, key = _rows(docs), ["doc_id", "copy"]
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & (_spaced(F.col("text")) != ""))
-    items = materialize(_templates(items, "item_id", True).withColumn("n", F.size("words")), "items")
+    items = materialize(_templates(items, "item_id").withColumn("n", F.size("words")), "items")
     short = [r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # under WINDOW rows
-    index = [_windows(items.where(F.col("n") >= WINDOW), "item_id", [WINDOW])] + [_windows(items.where(F.col("n") == n), "item_id", [n]) for n in short]
-    index = materialize(reduce(DataFrame.union, index).withColumnRenamed("at", "item_at"), "item-windows")
-    seen = _windows(_templates(rows, "doc_id", False), "doc_id", [WINDOW, *short])
-    found = seen.join(_small(index), "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).where("doc_id is not null").distinct()
+    index = [_windows(items.where(F.col("n") >= WINDOW), ["item_id"], [WINDOW])] + [_windows(items.where(F.col("n") == n), ["item_id"], [n]) for n in short]
+    index = reduce(DataFrame.union, index).groupBy("item_id", "h").agg(F.min("at").alias("item_at"), F.max("at").alias("last"))
+    index = materialize(index.select("item_id", "h", F.explode(F.array_distinct(F.array("item_at", "last"))).alias("item_at")), "item-windows")
+    seen = _windows(_templates(rows, *key), key, [WINDOW, *short])
+    found = seen.join(_small(index), "h").select(*key, "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     found = materialize(found, "candidates")
-    some = _small(found.select("doc_id").distinct())
+    some = _small(found.select(*key).distinct())
     # candidates of one item that lie close together are one occurrence
-    ordered = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    ordered = Window.partitionBy(*key, "item_id").orderBy("shift")
     far = F.coalesce(F.col("shift") - F.lag("shift").over(ordered) > F.greatest(F.lit(2 * SLACK), F.col("n") / 2), F.lit(False))
     groups = found.join(_small(items.select("item_id", "n"), 50_000), "item_id").withColumn("far", far.cast("int"))
-    groups = groups.withColumn("place", F.sum("far").over(ordered)).groupBy("doc_id", "item_id", "place").agg(F.collect_set("shift").alias("seeds"))
+    groups = groups.withColumn("place", F.sum("far").over(ordered)).groupBy(*key, "item_id", "place").agg(F.collect_set("shift").alias("seeds"))
     shifts = F.expr(f"array_distinct(flatten(transform(seeds, s -> sequence(s - {SLACK}, s + {SLACK}))))")
-    again = _templates(rows.join(some, "doc_id", "left_semi"), "doc_id", True).join(groups.select("doc_id", "item_id", "place", shifts.alias("shifts")), "doc_id")
+    again = _templates(rows.join(some, key, "left_semi"), *key).join(groups.select(*key, "item_id", "place", shifts.alias("shifts")), key)
     theirs = items.select("item_id", "n", F.col("words").alias("item_words"), F.col("values").alias("item_values"))
-    again = again.join(_small(theirs, 10_000), "item_id")
+    size = items.agg(F.sum(F.expr("aggregate(values, 16L, (a, v) -> a + 2 * octet_length(v) + 32)"))).first()[0] or 0
+    again = again.join(F.broadcast(theirs) if size <= BROADCAST_BYTES else theirs, "item_id")
     same = "i <= n and coalesce(get(words, i + s - 1) = get(item_words, i - 1), false)"
     longer = f"if(i - a.start >= least({PART}, n), concat(a.runs, array(named_struct('first', a.start, 'len', i - a.start, 'shift', s))), a.runs)"
     runs = f"aggregate(sequence(1, n + 1), named_struct('start', 1, 'runs', cast(array() as array<struct<first: int, len: int, shift: int>>)), (a, i) -> if({same}, a, named_struct('start', i + 1, 'runs', {longer})), a -> a.runs)"
-    again = again.withColumn("copy", F.xxhash64("values")).withColumn("r", F.explode(F.expr(f"flatten(transform(shifts, s -> {runs}))")))
+    again = again.withColumn("r", F.explode(F.expr(f"flatten(transform(shifts, s -> {runs}))")))
     bare = "lower(regexp_replace({}, '[.,;:!?]+$', ''))"
     pair = f"named_struct('at', i, 'word', item_words[i - 1], 'theirs', {bare.format('item_values[i - 1]')}, 'ours', {bare.format('values[i + r.shift - 1]')})"
     again = again.select("doc_id", "copy", "item_id", "place", "n", "r", F.expr(f"transform(sequence(r.first, r.first + r.len - 1), i -> {pair})").alias("run"))
@@ -115,11 +132,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = (F.col("changed") == 0) & (2 * F.col("filled") >= F.col("agreed"))
     summed = (F.col("n") >= SHORT) & (F.col("agreed") >= SHARE * F.col("n")) & (own | (2 * F.col("literal") >= F.col("agreed")))
     best = F.max(F.struct(F.col("agreed").alias("run_words"), (-F.col("start")).alias("minus_start"), F.col("n").alias("item_words"), "slots", (F.col("changed") > 0).alias("refilled")))
-    hits = sums.where(F.col("alone") | summed).groupBy("doc_id", "item_id").agg(best.alias("x"))
-    return hits.select("doc_id", "item_id", (-F.col("x.minus_start")).alias("start_word"), "x.run_words", "x.item_words", "x.slots", "x.refilled")
+    hits = sums.where(F.col("alone") | summed).groupBy(*key, "item_id").agg(best.alias("x"))
+    return hits.select(*key, "item_id", (-F.col("x.minus_start")).alias("start_word"), "x.run_words", "x.item_words", "x.slots", "x.refilled")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that repeat no benchmark item; all columns stay."""
-    flagged = materialize(contaminated(docs, benchmark).select("doc_id").distinct(), "flagged")
-    return docs.join(_small(flagged), "doc_id", "left_anti").select(*docs.columns)
+    flagged = materialize(_hits(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct(), "flagged")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__copy"))
+    return docs.join(_small(flagged), same, "left_anti").select(*docs.columns)
