@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which
 ``run`` writes as Parquet in the shared folder and reads again as the next stage's documents. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, and any others, whose names must not begin with two underscores.
+
+Documents are told apart by doc_id, which may be null, and text. Null, empty and letterless texts go with language ID. Of equal rows one
+stays. An empty table gives an empty result. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.decontaminate import decontaminated
 from scriptorium.llm.langid import UNDETERMINED, fit, identify
 from scriptorium.llm.mixing import mix
-from scriptorium.llm.neardup import near_duplicates
+from scriptorium.llm.neardup import LAST, near_duplicates
 from scriptorium.llm.tokens import token_ids
 from scriptorium.session import fresh_path, materialize, table
 
@@ -44,9 +47,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of linked documents."""
-    dropped = materialize(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each group of linked documents: the one with the smallest doc_id (null last), then hash of its text.
+
+    Rows are told apart by doc_id and text, so that texts which share an id stand for themselves; equal rows are one document.
+    """
+    found = near_duplicates(docs).where("group_id is not null").select("group_id", F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("text_print").alias("__print"))
+    found = materialize(found.groupBy("group_id", "__id", "__print").agg(F.count(F.lit(1)).alias("n")), "grouped")
+    leaders = found.groupBy("group_id").agg(F.min(F.struct("__id", "__print")).alias("lead"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    members = found.join(leaders, "group_id").withColumn("leads", F.col("lead") == F.struct("__id", "__print"))
+    members = materialize(members.where("not leads or n > 1").select("__id", "__print", "leads"), "members")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__id")) & (F.xxhash64("text") == F.col("__print"))
+    kept = docs.join(small(members), same, "left_anti").select(*docs.columns)
+    repeated = members.where("leads")
+    if repeated.limit(1).count():
+        one = docs.join(small(repeated), same, "left_semi").withColumn("__print", F.xxhash64("text")).dropDuplicates(["doc_id", "__print"])
+        kept = kept.union(one.select(*docs.columns))
+    return kept
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
