@@ -202,8 +202,7 @@ def conditional_entropy(docs: DataFrame) -> DataFrame:
     return p.groupBy("doc_id").agg(r6(-F.sum(F.col("p") * F.log2("c"))).alias("entropy"))
 
 
-PRONOUNS = "i you he she it we they".split()
-SPLICE_OPENERS = PRONOUNS + ["this", "that", "there", "here"]
+PRONOUNS, SPLICE_OPENERS = L.PRONOUNS, L.SPLICE_OPENERS
 
 
 def comma_splices(docs: DataFrame) -> DataFrame:

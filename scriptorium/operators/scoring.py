@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
+from scriptorium.functions.dialect import SPARK
+from scriptorium.operators import countermeasures as M
 from scriptorium.operators import detection as D
+from scriptorium.operators import fused as U
+from scriptorium.operators import register as R
 from scriptorium.operators.profiles import r6
-from scriptorium.session import materialize
 
 #: Feature, centre, steepness, weight, whether the absolute value counts.
 SCORE_PARAMS = [
     ("burstiness", 0.30, -15.0, 0.22, False), ("zipf_deviation", 0.10, -20.0, 0.20, False), ("hedge_ratio", 1.05, -3.0, 0.15, False),
-    ("autocorrelation", 0.05, 15.0, 0.13, False), ("repetition_delta", 0.05, -10.0, 0.09, False), ("transition_density", 15.0, 0.3, 0.03, False),
+    ("autocorrelation", 0.05, 15.0, 0.13, False), ("pos_entropy", 4.7, -3.0, 0.12, False), ("diversity_length", 0.10, 8.0, 0.09, False),
+    ("repetition_delta", 0.05, -10.0, 0.09, False), ("passive_clustering", 0.01, -50.0, 0.03, False), ("transition_density", 15.0, 0.3, 0.03, False),
     ("paragraph_cv", 0.40, -5.0, 0.03, False), ("opening_diversity", 0.50, -5.0, 0.03, False), ("nested_clauses", 0.25, -5.0, 0.03, False),
-    ("sophistication_slope", 0.03, -30.0, 0.02, True), ("register_consistency", 0.02, -30.0, 0.02, False), ("initial_adverbs", 0.08, 15.0, 0.02, False),
-    ("modal_density", 12.0, 0.2, 0.02, False), ("punctuation_entropy", 2.0, -2.0, 0.02, False), ("enumeration", 0.10, 15.0, 0.02, False), ("paragraph_overlap", 0.08, -10.0, 0.02, False),
+    ("comma_splices", 0.01, -100.0, 0.03, False), ("sophistication_slope", 0.03, -30.0, 0.02, True), ("register_consistency", 0.02, -30.0, 0.02, False),
+    ("initial_adverbs", 0.08, 15.0, 0.02, False), ("modal_density", 12.0, 0.2, 0.02, False), ("punctuation_entropy", 2.0, -2.0, 0.02, False),
+    ("enumeration", 0.10, 15.0, 0.02, False), ("paragraph_overlap", 0.08, -10.0, 0.02, False),
 ]
 #: Upper bounds of the score tiers, their names and actions.
 TIERS = [(0.15, "HUMAN AUTHORED", "Accept"), (0.35, "LIKELY HUMAN", "Accept with note"), (0.65, "MIXED / UNCERTAIN", "Human review required"), (0.85, "AI ASSISTED", "Investigation recommended"), (None, "AI GENERATED", "Policy enforcement action")]
 MIN_WORDS = 500
 
-FEATURES = {
-    "burstiness": (D.burstiness, "burstiness"), "zipf_deviation": (D.zipf, "deviation"), "hedge_ratio": (D.hedge_ratio, "ratio"), "autocorrelation": (D.autocorrelation, "lag1"),
-    "repetition_delta": (D.repetition_delta, "delta"), "transition_density": (D.transition_density, "per_1000"), "paragraph_cv": (D.paragraph_variation, "cv"), "opening_diversity": (D.opening_diversity, "diversity"),
-    "nested_clauses": (D.nested_clauses, "nested"), "sophistication_slope": (D.sophistication_slope, "slope"), "register_consistency": (D.register_consistency, "consistency"), "initial_adverbs": (D.initial_adverbs, "ratio"),
-    "modal_density": (D.modals, "density"), "punctuation_entropy": (D.punctuation_entropy, "entropy"), "enumeration": (D.enumeration, "ratio"), "paragraph_overlap": (D.paragraph_overlap, "jaccard"),
-}
+#: Words of a heatmap's window, and from one window to the next.
+HEAT_SIZE, HEAT_STEP = 300, 75
+PARAMS = {name: rest for name, *rest in SCORE_PARAMS}
+
+
+def one_score(name: str) -> str:
+    """SCO-01 of a feature's column, as SQL."""
+    centre, steepness, _, absolute = PARAMS[name]
+    return f"1e0 / (1e0 + exp(-({steepness}) * ({f'abs({name})' if absolute else name} - {centre})))"
+
+
+def score_sql() -> str:
+    """SCO-02: weighted mean of the present features' scores, 0.5 if there is none, as SQL over the features' columns."""
+    top = " + ".join(f"coalesce({w}e0 * ({one_score(n)}), 0e0)" for n, (_, _, w, _) in PARAMS.items())
+    weight = " + ".join(f"CASE WHEN {n} IS NULL THEN 0e0 ELSE {w}e0 END" for n, (_, _, w, _) in PARAMS.items())
+    return f"coalesce(least(greatest(({top}) / nullif({weight}, 0e0), 0e0), 1e0), 0.5e0)"
+
+
+def used_sql() -> str:
+    return "(" + " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE 1 END" for n in PARAMS) + ")"
 
 
 def logistic(x: Column, centre: Column | float, steepness: Column | float) -> Column:
@@ -43,23 +60,67 @@ def gated(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
     return docs.where(F.size(T.ws_words(F.col("text"))) >= words)
 
 
+def rounded(features: DataFrame, *keys: str) -> DataFrame:
+    return features.select(*keys, *[F.round(n, 6).alias(n) for n in U.NAMES])
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """DET-28: all features of the documents that are long enough, in long form; absent ones are null."""
-    some = materialize(gated(docs).select("doc_id", "text"), "gated")  # sixteen features read it
-    return reduce(DataFrame.unionByName, [f(some).select("doc_id", F.lit(name).alias("feature"), F.col(c).cast("double").alias("value")) for name, (f, c) in FEATURES.items()])
+    """DET-28: all features of the documents that are long enough, one row each; absent ones are null."""
+    return rounded(U.features(gated(docs)), "doc_id")
 
 
 def feature_scores(docs: DataFrame) -> DataFrame:
-    """SCO-01, 02: each present feature's score and weight, by a broadcast join with the small parameter table."""
-    params = docs.sparkSession.createDataFrame(SCORE_PARAMS, "feature string, centre double, steepness double, weight double, absolute boolean")
-    x = F.when(F.col("absolute"), F.abs("value")).otherwise(F.col("value"))
-    return features(docs).where("value is not null").join(F.broadcast(params), "feature").select("doc_id", "feature", "value", "weight", logistic(x, F.col("centre"), F.col("steepness")).alias("score"))
+    """SCO-01: (doc_id, feature, value, score) of each present feature."""
+    rows = features(docs)
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), F.expr(one_score(n)).alias("score")) for n in U.NAMES])
+    return rows.select("doc_id", F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("x")).select("doc_id", "x.*")
 
 
 def composite(docs: DataFrame) -> DataFrame:
     """SCO-02, 04: weighted mean of the present features' scores, with its tier and action."""
-    per = feature_scores(docs).groupBy("doc_id").agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("s"), F.count(F.lit(1)).alias("features"))
-    return per.select("doc_id", "features", F.round("s", 4).alias("score"), tier(F.round("s", 4), 1).alias("tier"), tier(F.round("s", 4), 2).alias("action"))
+    per = features(docs).select("doc_id", F.expr(used_sql()).cast("long").alias("features"), F.round(F.expr(score_sql()), 4).alias("score"))
+    return per.select("doc_id", "features", "score", tier(F.col("score"), 1).alias("tier"), tier(F.col("score"), 2).alias("action"))
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """SCO-03, 09, 10: the detector. Boilerplate is left out if enough text remains; register and countermeasures adjust the score.
+
+    The features of one text are one projection; the countermeasures read the original text, the score the chosen one.
+    """
+    d = SPARK
+    long = gated(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    template = M.applied(long, M.template(d))
+    enough = F.col("detected") & (F.size(T.ws_words(F.col("scorable"))) >= MIN_WORDS)
+    text = F.when(enough, F.col("scorable")).otherwise(F.col("text"))
+    chosen = template.select("doc_id", F.col("text").alias("original"), text.alias("chosen")).withColumn("text", F.col("chosen"))
+    scored = rounded(U.features(chosen, "doc_id", "original", "chosen"), "doc_id", "original", "chosen")
+    rows = scored.select("doc_id", "original", F.col("chosen").alias("text"), F.expr(score_sql()).alias("raw"), F.expr(used_sql()).alias("used"))
+    rows = M.applied(rows, [*R.feature_layers(d), *R.rule_layers(d)]).select("doc_id", F.col("original").alias("text"), "raw", "used", "label", "register_adjustment")
+    kept = ["doc_id", "text", "raw", "used", "label", "register_adjustment"]
+    for make, column in ((M.nnes, "nnes_adjustment"), (M.editing, "editing_adjustment"), (M.humanizer, "humanizer_adjustment")):
+        kept.append(column)
+        rows = M.applied(rows, make(d)).select(*kept)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    within = lambda x: F.least(F.greatest(x, zero), one)
+    double = lambda c: F.col(c).cast("double")
+    measures = double("nnes_adjustment") + double("editing_adjustment") + double("humanizer_adjustment")
+    rows = rows.withColumn("measures", measures).withColumn("score", F.round(within(within(F.col("raw") + double("register_adjustment")) + F.col("measures")), 5))
+    unsure = (F.col("used") < 5) & (F.col("score") > 0.15) & (F.col("score") < 0.85)
+    return rows.select("doc_id", F.col("used").cast("long").alias("used"), F.round("raw", 5).alias("raw"), "label", F.round("measures", 5).alias("measures"), "score", F.round(F.least(F.col("used") / 7.0, one), 5).alias("confidence"), F.when(unsure, "INCONCLUSIVE").otherwise(tier(F.col("score"), 1)).alias("tier"))
+
+
+def heatmap(docs: DataFrame) -> DataFrame:
+    """SCO-11, TOK-15: score of every window of 300 words, 75 apart. A window's text is its words joined, so sentence features vanish."""
+    words = gated(docs).select("doc_id", F.expr(SPARK.cased_tokens("text")).alias("w")).where(F.size("w") >= HEAT_SIZE)
+    at = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size(w) - {HEAT_SIZE}) div {HEAT_STEP}").cast("long"))).alias("win"))
+    texts = at.select("doc_id", "win", F.array_join(F.slice("w", (F.col("win") * HEAT_STEP + 1).cast("int"), HEAT_SIZE), " ").alias("text"))
+    scored = rounded(U.features(texts, "doc_id", "win"), "doc_id", "win")
+    return scored.select("doc_id", "win", (F.col("win") * HEAT_STEP).alias("word_start"), (F.col("win") * HEAT_STEP + HEAT_SIZE).alias("word_end"), F.expr(used_sql()).cast("long").alias("features"), F.round(F.expr(score_sql()), 4).alias("score"))
+
+
+def heat_summary(docs: DataFrame) -> DataFrame:
+    """SCO-11: least, greatest and mean score of a document's windows."""
+    return heatmap(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.round(F.avg("score"), 4).alias("mean"))
 
 
 def tier(score: Column, part: int) -> Column:
@@ -73,7 +134,7 @@ def tier(score: Column, part: int) -> Column:
 
 
 def explanation(docs: DataFrame, keep: int = 3) -> DataFrame:
-    """SCO-11, WIN-03: the features that speak most for a document's score."""
+    """SCO-13, WIN-03: the features that speak most for a document's score."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 6)), "feature"))
     return feature_scores(docs).withColumn("rank", rank).where(F.col("rank") <= keep).select("doc_id", "rank", "feature", r6(F.col("score")).alias("score"))
 

@@ -54,7 +54,7 @@ def doubles(vectors: DataFrame) -> DataFrame:
 BROADCAST_QUERIES = 10_000
 
 
-def query_pairs(vectors: DataFrame, every: int = 100) -> DataFrame:
+def query_pairs(vectors: DataFrame, every: int = 50) -> DataFrame:
     """JOI-03: a stated set of queries (ids that ``every`` divides) beside all vectors; a small set of queries is the broadcast side."""
     rows = doubles(vectors)
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))

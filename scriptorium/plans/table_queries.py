@@ -8,7 +8,6 @@ from scriptorium.functions import lexicons as L
 from scriptorium.operators import capture as C
 from scriptorium.operators import corpus as K
 from scriptorium.operators import evaluation as E
-from scriptorium.operators import register as R
 from scriptorium.operators import scoring as S
 from scriptorium.operators import vectors as V
 from scriptorium.plans.text_queries import QUERIES as TEXT
@@ -29,17 +28,11 @@ NW = f"len({WS})"
 PRED = "p AS (SELECT doc_id, lang AS grp, CAST(quality AS INT) AS y, round(least(n_chars / 5000.0, 1.0), 2) AS score, CAST(round(least(n_chars / 5000.0, 1.0), 2) >= 0.5 AS INT) AS pred FROM documents JOIN labels USING (doc_id))"
 ROC = f"{PRED}, s AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY 1), roc AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) / sum(pos) OVER () AS tpr, sum(neg) OVER (ORDER BY score DESC) / sum(neg) OVER () AS fpr FROM s), step AS (SELECT *, coalesce(lag(tpr) OVER (ORDER BY score DESC), 0) AS t0, coalesce(lag(fpr) OVER (ORDER BY score DESC), 0) AS f0 FROM roc)"
 HASH = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8) AS BIGINT)"
-MS = "epoch_ms(CAST(ts AS TIMESTAMP))"
+MS = "(epoch_us(CAST(ts AS TIMESTAMP)) // 1000)"
 ROLL = f"roll AS (SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS keystrokes, count(*) FILTER (event_type = 'purchase') AS pastes, count(*) FILTER (event_type = 'signup') AS saves, count(*) FILTER (event_type = 'error') AS undos, count(*) FILTER (event_type = 'view') AS focus, CAST(coalesce(sum(floor(value)) FILTER (event_type = 'click'), 0) AS BIGINT) AS typed, CAST(coalesce(sum(floor(value)) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS pasted, max({MS}) - min({MS}) AS duration_ms FROM events GROUP BY 1), rolled AS (SELECT *, round(CASE WHEN typed + pasted = 0 THEN 0.0 ELSE pasted / (typed + pasted) END, 6) AS paste_ratio FROM roll)"
 QUAL = f"qual AS (SELECT doc_id, text, source, CAST({NW} AS BIGINT) AS words, round(CASE WHEN {NW} = 0 THEN 0.0 ELSE 0.5 * least({NW} / 2000.0, 1.0) + 0.2 * CASE WHEN len(list_distinct(string_split(text, ''))) / greatest(length(text), 1) < 0.01 THEN 0.1 ELSE 1.0 END + 0.3 * least(length(regexp_replace(text, '[^.!?]', '', 'g')) / 3.0, 1.0) END, 6) AS quality FROM documents)"
-LONG = f"(SELECT * FROM documents WHERE {NW} >= {S.MIN_WORDS})"
-FEATURE_KEYS = {"burstiness": "det_01", "zipf_deviation": "det_02", "hedge_ratio": "det_03", "autocorrelation": "det_04", "repetition_delta": "det_07", "transition_density": "det_09", "paragraph_cv": "det_10", "opening_diversity": "det_11", "nested_clauses": "det_12", "sophistication_slope": "det_14", "register_consistency": "det_19", "initial_adverbs": "det_21", "modal_density": "det_17", "punctuation_entropy": "det_23", "enumeration": "det_25", "paragraph_overlap": "det_26"}
-FEATS = "feats AS (" + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS feature, CAST({column} AS DOUBLE) AS value FROM ({TEXT[FEATURE_KEYS[name]][1]}) WHERE doc_id IN (SELECT doc_id FROM {LONG})" for name, (_, column) in S.FEATURES.items()) + ")"
-PARAMS = "params(feature, centre, steepness, weight, absolute) AS (VALUES " + ", ".join(f"('{f}', {c}, {k}, {w}, {str(a).lower()})" for f, c, k, w, a in S.SCORE_PARAMS) + ")"
-SCORES = f"{FEATS}, {PARAMS}, scores AS (SELECT doc_id, feature, value, weight, 1.0 / (1.0 + exp(-steepness * (CASE WHEN absolute THEN abs(value) ELSE value END - centre))) AS score FROM feats JOIN params USING (feature) WHERE value IS NOT NULL)"
-TIER = lambda x, part: "CASE " + " ".join(f"WHEN {x} < {b} THEN '{names[part]}'" for b, *names in S.TIERS[:-1]) + f" ELSE '{S.TIERS[-1][part + 1]}' END"
 DELTA = f"{TOK}, words(feature) AS (VALUES {', '.join(f'({quoted([w])})' for w in L.FUNCTION_WORDS)}), sizes AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), c AS (SELECT doc_id, token AS feature, count(*) AS c FROM tok GROUP BY ALL), f AS (SELECT d.doc_id, d.source AS author, w.feature, coalesce(c.c, 0) / n AS value FROM documents d JOIN sizes USING (doc_id) CROSS JOIN words w LEFT JOIN c ON c.doc_id = d.doc_id AND c.feature = w.feature), st AS (SELECT feature, avg(value) AS m, greatest(stddev_pop(value), 1e-10) AS s FROM f GROUP BY 1), z AS (SELECT doc_id, author, feature, (value - m) / s AS z FROM f JOIN st USING (feature)), prof AS (SELECT author AS candidate, feature, avg(z) AS p FROM z GROUP BY ALL), delta AS (SELECT doc_id, author, candidate, round(avg(abs(z - p)), 6) AS delta FROM z JOIN prof USING (feature) GROUP BY ALL)"
-PAIRS = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), pairs AS (SELECT a.vec_id AS query_id, a.label AS query_label, a.v AS q, b.vec_id, b.label, b.v FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"
+PAIRS = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), pairs AS (SELECT a.vec_id AS query_id, a.label AS query_label, a.v AS q, b.vec_id, b.label, b.v FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
 EUCLID = "round(sqrt(list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6)"
 KNN = f"{PAIRS}, d AS (SELECT query_id, query_label, vec_id, label, {EUCLID} AS d FROM pairs), knn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INT) AS rank FROM d QUALIFY rank <= 5)"
 
@@ -74,11 +67,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "set_04": (lambda spark, sf: table(spark, sf, "documents").select(F.lit("documents").alias("origin"), "text").unionByName(table(spark, sf, "conversations").select(F.lit("conversations").alias("origin"), "text")).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "SELECT origin, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY 1"),
     "agg_05": (docs(K.author_profiles), f"WITH l AS ({TEXT['lex_01'][1]}) SELECT source AS author, count(*) AS documents, round(avg(ttr), 5) AS ttr, round(avg(hapax_ratio), 5) AS hapax_ratio, round(avg(avg_word_length), 5) AS avg_word_length, round(avg(yule_k), 5) AS yule_k FROM l JOIN documents USING (doc_id) GROUP BY 1"),
     "msc_16": (docs(K.distribution), "SELECT lang, source, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL"),
-    "reg_01": (docs(R.register_features), f"WITH {CNT}, w AS (SELECT doc_id, sum(n) AS w, sum(n * strlen(token)) AS b, coalesce(sum(n) FILTER (token IN ({quoted(R.FIRST_PERSON)})), 0) AS p FROM cnt GROUP BY 1), a AS (SELECT w.doc_id, w, b, 1000.0 * p / w AS person, coalesce(avg_words, 0) AS len, coalesce(question_ratio, 0) AS question_ratio, coalesce(passive_ratio, 0) AS passive, contractions / w AS con, hedge_ratio, flesch_kincaid, per_1000 / 1000 AS disc FROM w LEFT JOIN ({TEXT['syn_01'][1]}) s ON s.doc_id = w.doc_id LEFT JOIN ({TEXT['syn_05'][1]}) p ON p.doc_id = w.doc_id JOIN ({TEXT['sty_04'][1]}) y ON y.doc_id = w.doc_id JOIN ({TEXT['sem_03'][1]}) r ON r.doc_id = w.doc_id JOIN ({TEXT['sem_02'][1]}) d ON d.doc_id = w.doc_id) SELECT doc_id, round(0.25 * least(len / 30.0, 1.0) + 0.25 * passive + 0.25 * least(greatest(1.0 - con * 100.0, 0.0), 1.0) + 0.25 * (1.0 - least(person / 50.0, 1.0)), 5) AS formality, round(least(greatest((b / w - 4.0) / 3.0, 0.0), 1.0), 5) AS technical, round(person, 6) AS first_person, round(question_ratio, 6) AS question_ratio, round(flesch_kincaid, 5) AS grade, round(hedge_ratio, 6) AS hedge_ratio, round(disc, 5) AS discourse_ratio FROM a"),
     # scores
-    "sco_01": (docs(lambda d: S.feature_scores(d).select("doc_id", "feature", F.round("score", 4).alias("score"))), f"WITH {SCORES} SELECT doc_id, feature, round(score, 4) AS score FROM scores"),
-    "sco_02": (docs(S.composite), f"WITH {SCORES}, s AS (SELECT doc_id, count(*) AS features, round(sum(weight * score) / sum(weight), 4) AS score FROM scores GROUP BY 1) SELECT doc_id, features, score, {TIER('score', 0)} AS tier, {TIER('score', 1)} AS action FROM s"),
-    "sco_11": (docs(S.explanation), f"WITH {SCORES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, feature) AS INT) AS rank, feature, round(score, 6) AS score FROM scores QUALIFY rank <= 3"),
     "cnf_01": (docs(lambda d: d.select("doc_id", S.length_factor(K.n_words(F.col("text"))).alias("factor"))), f"SELECT doc_id, CASE WHEN {NW} < 100 THEN 0.4 WHEN {NW} < 300 THEN 0.6 WHEN {NW} < 500 THEN 0.75 WHEN {NW} < 1000 THEN 0.9 WHEN {NW} < 2000 THEN 0.95 ELSE 1.0 END AS factor FROM documents"),
     "dlt_01": (docs(S.author_deltas), f"WITH {DELTA} SELECT doc_id, author, candidate, delta FROM delta"),
     "rnk_01": (docs(lambda d: S.ranking(d).groupBy("right").agg(F.count(F.lit(1)).alias("n"))), f"WITH {DELTA}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY delta, candidate) AS rank FROM delta) SELECT author = candidate AS \"right\", count(*) AS n FROM r WHERE rank = 1 GROUP BY 1"),
