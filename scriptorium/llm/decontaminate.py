@@ -2,7 +2,7 @@
 
 A text's template replaces names (every capitalised word, at a sentence's start too), numbers and units by typed placeholders and drops case
 and punctuation, word for word, so that a template's words stay aligned with the text's. All windows of the benchmark's templates meet, by
-hash, all windows of the documents' templates; windows with fewer than ``LITERAL`` words besides the placeholders, as in a table of numbers,
+hash, all windows of the documents' templates; benchmark windows with fewer than ``LITERAL`` words besides the placeholders, as in a table of numbers,
 meet only if their values are the same, by the item's first such window. Each candidate alignment of a document with an item, and its neighbours up to ``SLACK`` words away, is then
 compared word by word. Alignments that lie close together are one occurrence, and its agreeing words, over all runs and shifts, are summed:
 an item copied with words changed, inserted or left out here and there is found by its share of agreeing words. The values that fill the
@@ -58,13 +58,35 @@ def _templates(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.split(template_text(F.col("text")), " ").alias("words"), F.split(_spaced(F.col("text")), " ").alias("values"))
 
 
-def _windows(df: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """(keys, at, h): hashes of all windows of the given sizes, by their first word."""
+def _exploded(df: DataFrame, keys: list[str], hashes: list[str]) -> DataFrame:
+    """(keys, at, h) of arrays of hashes by their first word."""
+    return df.select(*keys, F.explode(F.array(*map(F.expr, hashes))).alias("hashes")).select(*keys, F.posexplode("hashes").alias("nth", "h")).select(*keys, (F.col("nth") + 1).alias("at"), "h")
+
+
+def _hashes(n: int, one: str) -> str:
     # short texts give empty arrays: a filter on their size would compute the templates twice
-    literal = f"size(filter(slice(words, i, {{n}}), w -> w rlike '^[^{NUMBER}-{UNIT}]+$')) >= least({LITERAL}, {{n}})"
-    one = f"if({literal}, xxhash64(slice(words, i, {{n}})), xxhash64(slice(values, i, {{n}}), 1))"
-    hashes = [F.expr(f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> {one.format(n=n)}), cast(array() as array<bigint>))") for n in sizes]
-    return df.select(*keys, F.explode(F.array(*hashes)).alias("hashes")).select(*keys, F.posexplode("hashes").alias("nth", "h")).select(*keys, (F.col("nth") + 1).alias("at"), "h")
+    return f"if(size(words) >= {n}, transform(sequence(1, size(words) - {n - 1}), i -> {one}), cast(array() as array<bigint>))"
+
+
+def _by_template(n: int) -> str:
+    return f"xxhash64(slice(words, i, {n}))"
+
+
+def _by_value(n: int) -> str:
+    return f"xxhash64(slice(values, i, {n}), 1)"
+
+
+def _item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(item_id, item_at, h, plain): all windows of the items; those with too few literal words go by their values, and are not plain."""
+    parts = []
+    for n in sizes:
+        few = f"size(filter(slice(words, i, {n}), w -> w > '{UNIT}')) < {min(LITERAL, n)}"
+        some = items.where(F.col("n") >= n if n == WINDOW else F.col("n") == n)
+        made = _exploded(some, ["item_id"], [_hashes(n, f"if({few}, {_by_value(n)}, {_by_template(n)})")])
+        flags = some.select("item_id", F.posexplode(F.expr(_hashes(n, f"if({few}, 0L, 1L)"))).alias("nth", "plain")).select("item_id", (F.col("nth") + 1).alias("at"), (F.col("plain") == 1).alias("plain"))
+        parts.append(made.join(flags, ["item_id", "at"]))
+    ends = reduce(DataFrame.union, parts).groupBy("item_id", "h").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("plain").alias("plain"))
+    return ends.select("item_id", "h", "plain", F.explode(F.array_distinct(F.array("first", "last"))).alias("item_at"))
 
 
 def _small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
@@ -88,11 +110,13 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & (_spaced(F.col("text")) != ""))
     items = materialize(_templates(items, "item_id").withColumn("n", F.size("words")), "items")
     short = [r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # under WINDOW rows
-    index = [_windows(items.where(F.col("n") >= WINDOW), ["item_id"], [WINDOW])] + [_windows(items.where(F.col("n") == n), ["item_id"], [n]) for n in short]
-    index = reduce(DataFrame.union, index).groupBy("item_id", "h").agg(F.min("at").alias("item_at"), F.max("at").alias("last"))
-    index = materialize(index.select("item_id", "h", F.explode(F.array_distinct(F.array("item_at", "last"))).alias("item_at")), "item-windows")
-    seen = _windows(_templates(rows, *key), key, [WINDOW, *short])
-    found = seen.join(_small(index), "h").select(*key, "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    sizes = [WINDOW, *short]
+    index = materialize(_item_windows(items, sizes), "item-windows")
+    hashes = [_hashes(n, _by_template(n)) for n in sizes]
+    if index.where("not plain").limit(1).count():
+        hashes += [_hashes(n, _by_value(n)) for n in sizes]
+    seen = _exploded(_templates(rows, *key), key, hashes)
+    found = seen.join(_small(index.drop("plain")), "h").select(*key, "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     found = materialize(found, "candidates")
     some = _small(found.select(*key).distinct())
     # candidates of one item that lie close together are one occurrence
