@@ -1,15 +1,19 @@
-"""Substring dedup by hashed windows against everything that comes earlier, in place of a relative Lempel-Ziv parse.
+"""Substring dedup by relative Lempel-Ziv parsing against everything that comes earlier.
 
 The reference of a document is all text before it: documents with a smaller ``doc_id``, and its own earlier words. The
 reference's blocks are indexed by content: every run of windows (``WINDOW`` consecutive words) that shares a minimizer, the
 smallest hash of the ``GRAM``-word pieces within, goes to the bucket of that minimizer, so equal windows meet wherever they
-stand. A bucket finds each window's first occurrence; later ones become factors that point back to it,
-joined while source and copy run in step within the bucket. Nothing is parsed greedily: factors break where the bucket
-changes, and their windows' words are summed, so a word is removed exactly if some window that covers it starts earlier elsewhere.
+stand. A bucket finds each window's first occurrence in the whole reference; later ones become matches that point back to it.
+
+Each document is then parsed greedily (``parse``): matches that run in step with the same source are joined across buckets; at each
+place the match that reaches farthest becomes a factor of ``WINDOW`` words or more, and the parse goes on behind it. Windows that straddle
+a factor's end belong to no factor: they are looked up one by one, so a word is removed exactly if some window that covers it starts
+earlier elsewhere.
 
 Repeats inside a block of documents are settled where they are read and never shuffled, so a window that stands in every
 document costs each block one entry. Null text has no words. A null ``doc_id`` comes after all others. Rows that repeat a ``doc_id`` count
-as one document; equal rows get equal results.
+as one document; equal rows get equal results. An empty table gives no rows. A text is taken whole, in memory linear in its length. Columns
+other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import BASE, batches, hashes_of, mixed, raw_texts, rolling
+from scriptorium.llm.words import BASE, batches, hashes_of, mixed, raw_texts, rolling, tidy
 
 WINDOW, GRAM = 20, 10
 #: Text bytes of a block, which bound a worker's memory; and of the corpus for each bucket.
@@ -163,45 +167,108 @@ def _matched(group: pa.Table) -> pa.Table:
 
 
 def factors(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows, source_doc, source_start): words start .. start + windows + WINDOW - 2 repeat the source's."""
+    """Matches: (doc_id, start, windows, source_doc, source_start): words start .. start + windows + WINDOW - 2 repeat the source's."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_key"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets = max(16, -(-int(total) // BUCKET_BYTES))
-    indexed = rows.mapInArrow(_indexed(buckets), "bucket int, local boolean, blob binary")
+    indexed = rows.mapInArrow(tidy(_indexed(buckets)), "bucket int, local boolean, blob binary")
     return indexed.groupBy("bucket").applyInArrow(_matched, "doc_id long, start int, windows int, source_doc long, source_start int")
 
 
-def parse(n_words: int, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which words the factors cover: each factor spans its windows' words, and those across a boundary are factors of their own."""
-    change = np.zeros(n_words + 1, np.int64)
-    fits = start + windows + WINDOW - 1 <= n_words
-    np.add.at(change, start[fits], 1)
-    np.add.at(change, (start + windows + WINDOW - 1)[fits], -1)
-    return np.cumsum(change[:-1]) > 0
+def joined(start: np.ndarray, windows: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray) -> list[np.ndarray]:
+    """Matches joined where copy and source go on in step, by start."""
+    order = np.lexsort((start, source_start - start, source_doc))
+    start, windows, source_doc, source_start = (x[order].astype(np.int64) for x in (start, windows, source_doc, source_start))
+    shift, end = source_start - start, start + windows
+    new = np.r_[True, (source_doc[1:] != source_doc[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > end[:-1])]
+    first = np.flatnonzero(new)
+    found = [start[first], np.maximum.reduceat(end, first) - start[first], source_doc[first], source_start[first]]
+    by_start = np.lexsort((-found[1], found[0]))
+    return [x[by_start] for x in found]
+
+
+def parse(n_words: int, start: np.ndarray, windows: np.ndarray, source_doc: np.ndarray, source_start: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """Greedy parse of one document: its factors (start, words, source document, start there), and which words they cover,
+    with the windows that straddle factors' ends."""
+    covered = np.zeros(n_words, bool)
+    factors: list[tuple[int, int, int, int]] = []
+    if not len(start):
+        return factors, covered
+    start, windows, source_doc, source_start = (x.tolist() for x in joined(start, windows, source_doc, source_start))
+    place, at, best = 0, 0, -1  # best: of the matches that start no later than the place, the one that reaches farthest
+    while True:
+        while at < len(start) and start[at] <= place:
+            if best < 0 or start[at] + windows[at] > start[best] + windows[best]:
+                best = at
+            at += 1
+        if best < 0 or start[best] + windows[best] <= place:
+            if at == len(start):
+                break
+            place = start[at]
+            continue
+        last = start[best] + windows[best]  # behind the factor's last whole window
+        end = last + WINDOW - 1
+        if end > n_words:  # another text of the same doc_id
+            best, place = -1, place + 1
+            continue
+        factors.append((place, end - place, source_doc[best], source_start[best] + place - start[best]))
+        covered[place:end] = True
+        # windows that straddle the factor's end
+        k = at
+        while k < len(start) and start[k] < end:
+            k += 1
+        for m in range(max(0, min(best, at)), k):
+            lo, hi = max(start[m], last), min(start[m] + windows[m], end)
+            if lo < hi and hi + WINDOW - 1 <= n_words:
+                covered[lo : hi + WINDOW - 1] = True
+        place = end
+    return factors, covered
+
+
+MATCH = ("start", "windows", "source_doc", "source_start")
+
+
+def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[tuple[int, int, int, int]], np.ndarray]]:
+    for raw, matches in zip(raw_texts(batch.column("text")), batch.column("matches"), strict=True):
+        words = raw.split()
+        found = matches.values
+        columns = [np.empty(0, np.int64)] * 4 if found is None else [found.field(k).to_numpy(zero_copy_only=False) for k in MATCH]
+        yield words, *parse(len(words), *columns)
 
 
 def _kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        total, removed, digests, texts = [], [], [], []
-        for raw, starts, windows in zip(raw_texts(batch.column("text")), batch.column("starts").to_pylist(), batch.column("windows").to_pylist(), strict=True):
-            words = raw.split()
-            if starts:
-                gone = parse(len(words), np.array(starts, np.int64), np.array(windows, np.int64))
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+    for whole in it:
+        for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+            total, removed, digests, texts = [], [], [], []
+            for words, _, gone in _parsed(batch):
+                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)
+                total.append(len(words))
                 removed.append(int(gone.sum()))
-            else:
-                kept = b" ".join(words)
-                removed.append(0)
-            total.append(len(words))
-            digests.append(hashlib.sha256(kept).hexdigest())
-            texts.append(kept.decode())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                digests.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept)
+            columns = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+
+def _factors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "start", "words", "source_doc", "source_start"]
+    for batch in it:
+        rows = [(doc, *f) for doc, (_, factors, _) in zip(batch.column("doc_id").to_pylist(), _parsed(batch), strict=True) for f in factors]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names)
+
+
+def with_matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, matches) of every document."""
+    found = factors(docs).groupBy("doc_id").agg(F.collect_list(F.struct(*MATCH)).alias("matches")).withColumnRenamed("doc_id", "__key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(found, F.coalesce(F.col("doc_id"), F.lit(int(LAST))) == F.col("__key"), "left").select("doc_id", "text", "matches")
+
+
+def factorised(docs: DataFrame) -> DataFrame:
+    """The parse itself: (doc_id, start, words, source_doc, source_start) of every factor."""
+    return with_matches(docs).mapInArrow(tidy(_factors), "doc_id long, start long, words long, source_doc long, source_start long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: n_words, n_removed, the kept words joined by single spaces, and their SHA-256."""
-    found = factors(docs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
-    found = found.withColumnRenamed("doc_id", "__key")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = rows.join(found, F.coalesce(F.col("doc_id"), F.lit(int(LAST))) == F.col("__key"), "left").select("doc_id", "text", "starts", "windows")
-    return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return with_matches(docs).mapInArrow(tidy(_kept), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
