@@ -147,7 +147,7 @@ def template(d: Dialect) -> Layers:
         {"ps": d.filter(d.map(d.split("text", "\n\n"), "p_", trim("p_")), "p_", "p_ <> ''")},
         {"np": d.size("ps"), "signed": kinds("true"), "plain": kinds("false")},
         {"boiler": keep(f"{k} <> ''"), "rest": keep(f"{k} = ''"), "kinds": d.distinct(d.filter(d.map(d.upto("np"), "i_", k), "k_", "k_ <> ''"))},
-        {"fraction": f"CASE WHEN np = 0 THEN 0.0 ELSE {bytes_of('boiler')} / {bytes_of('ps')} END", "types": d.join("array_sort(kinds)" if d.name == "spark" else "list_sort(kinds)", ","), "scorable": f"CASE WHEN np = 0 THEN text ELSE {d.join('rest', '\n\n')} END"},
+        {"fraction": f"CASE WHEN np = 0 THEN 0.0 ELSE {bytes_of('boiler')} / {bytes_of('ps')} END", "types": d.join("sort_array(kinds)" if d.name == "spark" else "list_sort(kinds)", ","), "scorable": f"CASE WHEN np = 0 THEN text ELSE {d.join('rest', '\n\n')} END"},
         {"detected": "fraction > 0.10", "template_fraction": "round(fraction, 6)"},
     ]
 

@@ -79,15 +79,15 @@ def layers() -> list[dict[str, str]]:
         {
             "n": "size(toks)",
             "big": "filter(toks, w -> octet_length(w) > 1)",
-            "alpha": "array_sort(filter(toks, w -> w rlike '\\\\p{L}'))",
+            "alpha": "sort_array(filter(toks, w -> w rlike '\\\\p{L}'))",
             "content": f"filter(toks, w -> octet_length(w) > 2 and not {listed('w', L.FUNCTION_WORDS)})",
             "tags": f"transform(toks, w -> {tag_sql(SPARK, 'w')})",
         },
         {
             "wins": "nullif(size(big) div 100, 0)",
-            "spread": f"array_sort(filter(transform(big, (w, i) -> named_struct('w', w, 'i', i div 100)), x -> not {listed('x.w', L.FUNCTION_WORDS)}))",
-            "freqs": f"reverse(array_sort({run_lengths('alpha')}))",
-            "tri": "array_sort(if(n >= 20, transform(sequence(1, n - 2), i -> get(tags, i - 1) * 144 + get(tags, i) * 12 + get(tags, i + 1)), cast(array() as array<int>)))",
+            "spread": f"sort_array(filter(transform(big, (w, i) -> named_struct('w', w, 'i', i div 100)), x -> not {listed('x.w', L.FUNCTION_WORDS)}))",
+            "freqs": f"reverse(sort_array({run_lengths('alpha')}))",
+            "tri": "sort_array(if(n >= 20, transform(sequence(1, n - 2), i -> get(tags, i - 1) * 144 + get(tags, i) * 12 + get(tags, i + 1)), cast(array() as array<int>)))",
             "lens": "transform(sa, s -> size(split(s, '\\\\s+')))",
             "halves": "array(slice(content, 1, size(content) div 2), slice(content, size(content) div 2 + 1, size(content)))",
             "opens": f"transform(sb, s -> {FIRST.format('s')})",
@@ -182,7 +182,7 @@ def tagged(docs: DataFrame) -> DataFrame:
 def pos_entropy(docs: DataFrame) -> DataFrame:
     """DET-05: entropies of tag trigrams and bigrams, 20 words at least."""
     rows = docs.select("doc_id", F.expr(f"transform({SPARK.tokens('text')}, w -> {tag_sql(SPARK, 'w')})").alias("t")).where(F.size("t") >= 20)
-    rows = rows.select("doc_id", F.expr("array_sort(transform(sequence(1, size(t) - 2), i -> get(t, i - 1) * 144 + get(t, i) * 12 + get(t, i + 1)))").alias("tri"), F.expr("array_sort(transform(sequence(1, size(t) - 1), i -> get(t, i - 1) * 12 + get(t, i)))").alias("bi"))
+    rows = rows.select("doc_id", F.expr("sort_array(transform(sequence(1, size(t) - 2), i -> get(t, i - 1) * 144 + get(t, i) * 12 + get(t, i + 1)))").alias("tri"), F.expr("sort_array(transform(sequence(1, size(t) - 1), i -> get(t, i - 1) * 12 + get(t, i)))").alias("bi"))
     rows = rows.select("doc_id", F.expr(run_lengths("tri")).alias("c3"), F.expr(run_lengths("bi")).alias("c2"), F.size("tri").cast("long").alias("total"))
     return rows.select("doc_id", F.round(F.expr(entropy("c3")), 6).alias("trigram_entropy"), F.size("c3").cast("long").alias("unique_trigrams"), "total", F.round(F.expr(entropy("c2")), 6).alias("bigram_entropy"))
 

@@ -146,43 +146,3 @@ def length_factor(words: Column) -> Column:
     for bound, value in bounds:
         out = out.when(words < bound, value)
     return out.otherwise(1.0)
-
-
-# -- function-word profiles and Delta ------------------------------------------------------------------------
-
-
-def function_word_features(docs: DataFrame) -> DataFrame:
-    """(doc_id, author, feature, value): relative frequency of every function word in every document, 0 where absent."""
-    spark = docs.sparkSession
-    words = spark.createDataFrame([(w,) for w in L.FUNCTION_WORDS], "feature string")
-    toks = docs.select("doc_id", F.col("source").alias("author"), T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    sizes = toks.select("doc_id", "author", F.size("t").alias("n"))
-    counts = toks.select("doc_id", F.explode("t").alias("feature")).where(F.col("feature").isin(*L.FUNCTION_WORDS)).groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("c"))
-    grid = sizes.crossJoin(F.broadcast(words))  # the lexicon has a fixed hundred words
-    return grid.join(counts, ["doc_id", "feature"], "left").select("doc_id", "author", "feature", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("value"))
-
-
-def corpus_stats(feats: DataFrame) -> DataFrame:
-    """AGG-06: mean and population deviation of each feature, floored at 1e-10."""
-    return feats.groupBy("feature").agg(F.avg("value").alias("mean"), F.greatest(F.stddev_pop("value"), F.lit(1e-10)).alias("std"))
-
-
-def z_scores(feats: DataFrame) -> DataFrame:
-    """JOI-01: features joined with their statistics."""
-    return feats.join(F.broadcast(corpus_stats(feats)), "feature").select("doc_id", "author", "feature", ((F.col("value") - F.col("mean")) / F.col("std")).alias("z"))
-
-
-def author_deltas(docs: DataFrame) -> DataFrame:
-    """DLT-01, JOI-02, 03: Burrows' Delta (mean |z difference|) of every document to every author's mean profile."""
-    z = z_scores(function_word_features(docs))
-    profiles = z.groupBy(F.col("author").alias("candidate"), "feature").agg(F.avg("z").alias("p"))
-    pairs = z.join(F.broadcast(profiles), "feature")
-    return pairs.groupBy("doc_id", "author", "candidate").agg(r6(F.avg(F.abs(F.col("z") - F.col("p")))).alias("delta"))
-
-
-def ranking(docs: DataFrame) -> DataFrame:
-    """WIN-01, 02, RNK-01: candidates by Delta; margin between the first two; definitive if over 0.15."""
-    order = Window.partitionBy("doc_id").orderBy("delta", "candidate")
-    rows = author_deltas(docs).withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("delta").over(order))
-    best = rows.where("rank = 1")
-    return best.select("doc_id", "candidate", "delta", r6(F.col("next") - F.col("delta")).alias("margin"), (F.col("author") == F.col("candidate")).alias("right"))

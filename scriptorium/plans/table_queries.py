@@ -31,7 +31,6 @@ HASH = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 8) AS BIGI
 MS = "(epoch_us(CAST(ts AS TIMESTAMP)) // 1000)"
 ROLL = f"roll AS (SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS keystrokes, count(*) FILTER (event_type = 'purchase') AS pastes, count(*) FILTER (event_type = 'signup') AS saves, count(*) FILTER (event_type = 'error') AS undos, count(*) FILTER (event_type = 'view') AS focus, CAST(coalesce(sum(floor(value)) FILTER (event_type = 'click'), 0) AS BIGINT) AS typed, CAST(coalesce(sum(floor(value)) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS pasted, max({MS}) - min({MS}) AS duration_ms FROM events GROUP BY 1), rolled AS (SELECT *, round(CASE WHEN typed + pasted = 0 THEN 0.0 ELSE pasted / (typed + pasted) END, 6) AS paste_ratio FROM roll)"
 QUAL = f"qual AS (SELECT doc_id, text, source, CAST({NW} AS BIGINT) AS words, round(CASE WHEN {NW} = 0 THEN 0.0 ELSE 0.5 * least({NW} / 2000.0, 1.0) + 0.2 * CASE WHEN len(list_distinct(string_split(text, ''))) / greatest(length(text), 1) < 0.01 THEN 0.1 ELSE 1.0 END + 0.3 * least(length(regexp_replace(text, '[^.!?]', '', 'g')) / 3.0, 1.0) END, 6) AS quality FROM documents)"
-DELTA = f"{TOK}, words(feature) AS (VALUES {', '.join(f'({quoted([w])})' for w in L.FUNCTION_WORDS)}), sizes AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), c AS (SELECT doc_id, token AS feature, count(*) AS c FROM tok GROUP BY ALL), f AS (SELECT d.doc_id, d.source AS author, w.feature, coalesce(c.c, 0) / n AS value FROM documents d JOIN sizes USING (doc_id) CROSS JOIN words w LEFT JOIN c ON c.doc_id = d.doc_id AND c.feature = w.feature), st AS (SELECT feature, avg(value) AS m, greatest(stddev_pop(value), 1e-10) AS s FROM f GROUP BY 1), z AS (SELECT doc_id, author, feature, (value - m) / s AS z FROM f JOIN st USING (feature)), prof AS (SELECT author AS candidate, feature, avg(z) AS p FROM z GROUP BY ALL), delta AS (SELECT doc_id, author, candidate, round(avg(abs(z - p)), 6) AS delta FROM z JOIN prof USING (feature) GROUP BY ALL)"
 PAIRS = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), pairs AS (SELECT a.vec_id AS query_id, a.label AS query_label, a.v AS q, b.vec_id, b.label, b.v FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"
 EUCLID = "round(sqrt(list_sum(list_transform(list_zip(q, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6)"
 KNN = f"{PAIRS}, d AS (SELECT query_id, query_label, vec_id, label, {EUCLID} AS d FROM pairs), knn AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INT) AS rank FROM d QUALIFY rank <= 5)"
@@ -65,12 +64,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "win_10": (docs(K.bucket_split), f"WITH b AS (SELECT doc_id, {HASH} % 100 AS bucket FROM documents) SELECT doc_id, bucket, CASE WHEN bucket < 80 THEN 'train' WHEN bucket < 90 THEN 'val' ELSE 'test' END AS split FROM b"),
     "set_03": (docs(K.vocabulary_growth), f"WITH t AS (SELECT source, doc_id, unnest(list_distinct({TOKS})) AS token FROM documents), f AS (SELECT source, token, min(doc_id) AS doc_id FROM t GROUP BY ALL), a AS (SELECT source, doc_id, count(*) AS added FROM f GROUP BY ALL) SELECT source, doc_id, added, CAST(sum(added) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS vocabulary FROM a"),
     "set_04": (lambda spark, sf: table(spark, sf, "documents").select(F.lit("documents").alias("origin"), "text").unionByName(table(spark, sf, "conversations").select(F.lit("conversations").alias("origin"), "text")).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "SELECT origin, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM (SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY 1"),
-    "agg_05": (docs(K.author_profiles), f"WITH l AS ({TEXT['lex_01'][1]}) SELECT source AS author, count(*) AS documents, round(avg(ttr), 5) AS ttr, round(avg(hapax_ratio), 5) AS hapax_ratio, round(avg(avg_word_length), 5) AS avg_word_length, round(avg(yule_k), 5) AS yule_k FROM l JOIN documents USING (doc_id) GROUP BY 1"),
     "msc_16": (docs(K.distribution), "SELECT lang, source, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL"),
     # scores
     "cnf_01": (docs(lambda d: d.select("doc_id", S.length_factor(K.n_words(F.col("text"))).alias("factor"))), f"SELECT doc_id, CASE WHEN {NW} < 100 THEN 0.4 WHEN {NW} < 300 THEN 0.6 WHEN {NW} < 500 THEN 0.75 WHEN {NW} < 1000 THEN 0.9 WHEN {NW} < 2000 THEN 0.95 ELSE 1.0 END AS factor FROM documents"),
-    "dlt_01": (docs(S.author_deltas), f"WITH {DELTA} SELECT doc_id, author, candidate, delta FROM delta"),
-    "rnk_01": (docs(lambda d: S.ranking(d).groupBy("right").agg(F.count(F.lit(1)).alias("n"))), f"WITH {DELTA}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY delta, candidate) AS rank FROM delta) SELECT author = candidate AS \"right\", count(*) AS n FROM r WHERE rank = 1 GROUP BY 1"),
     # metrics
     "agg_15": (scored(E.confusion), f"WITH {PRED} SELECT y AS actual, pred AS predicted, count(*) AS n FROM p GROUP BY ALL"),
     "agg_16": (scored(E.binary_metrics), f"WITH {PRED}, c AS (SELECT count(*) FILTER (y = 1 AND pred = 1) AS tp, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, count(*) FILTER (y = 0 AND pred = 0) AS tn FROM p) SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((fp / (fp + tn) + fn / (fn + tp)) / 2, 6) AS eer FROM c"),
@@ -110,5 +106,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "val_04": (on("pages", lambda d: d.select("page_id", X.safe_name(F.col("url")).alias("name"))), r"SELECT page_id, regexp_replace(replace(url, '..', '_'), '[/\\:\x00]', '_', 'g') AS name FROM pages"),
     "for_02": (docs(X.digests), "SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256, sha256('secret' || text) AS signature, substr(sha256(text), 1, 16) AS fingerprint FROM documents"),
     "for_05": (docs(X.tampering), "WITH n AS (SELECT doc_id, length(text) - length(regexp_replace(text, '[​‌‍﻿­]', '', 'g')) AS n FROM documents) SELECT doc_id, n AS zero_width, n > 3 AS suspicious, CASE WHEN n > 3 THEN 0.3 ELSE 0.0 END AS risk FROM n"),
-    "cry_01": (docs(X.merkle_root), None),
+    "cry_01": (docs(X.merkle_root), "WITH RECURSIVE leaves AS (SELECT count(*) AS n, list(sha256(CAST(doc_id AS VARCHAR) || ':' || text) ORDER BY doc_id) AS h FROM documents), tree AS (SELECT n, h FROM leaves UNION ALL SELECT n, list_transform(range(0, (len(h) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(h) THEN sha256(h[2 * i + 1] || h[2 * i + 2]) ELSE h[2 * i + 1] END) FROM tree WHERE len(h) > 1) SELECT n AS leaves, h[1] AS root FROM tree WHERE len(h) = 1"),
 }

@@ -75,8 +75,13 @@ def merkle_root(docs: DataFrame) -> DataFrame:
 
     from scriptorium.session import materialize
 
-    level = docs.select(F.col("doc_id").alias("o"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256).alias("h"))
-    level = materialize(level.select((F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias("i"), "h"), "leaves")
+    hashed = docs.select(F.col("doc_id").alias("o"), F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "text"), 256).alias("h"))
+    # positions in two levels: ranges of ids, and places within each; no task sorts all leaves
+    ranged = materialize(hashed.repartitionByRange("o").sortWithinPartitions("o").withColumn("p", F.spark_partition_id()), "leaves")
+    sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # one row a partition
+    place = F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1
+    level = materialize(ranged.withColumn("place", place).join(F.broadcast(offsets), "p").select((F.col("before") + F.col("place")).cast("long").alias("i"), "h"), "level")
     n = level.count()
     leaves = n
     while n > 1:
