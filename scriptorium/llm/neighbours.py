@@ -8,8 +8,9 @@ unexpanded ones in steps of ``STEP``, and ends when all are expanded. Steps of a
 scored exactly, in double precision on the original vectors, with all members of their classes that can matter.
 
 In-links are sampled to about ``DEGREE`` for each node, as in the original method, so a hub costs no more than others.
-Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another length
-than the longest. Ties go to the smaller id. Repeated rows of one id count once.
+Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors are compared with those of their own
+length. Ties go to the smaller id. Of the vectors of one id the smallest counts. A descent or a search that does not settle raises an
+error. An empty table gives no rows; columns other than the id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import discard, materialize
 
-DEGREE, PROPOSALS, MAX_ROUNDS, SETTLED = 20, 4, 9, 0.01
-BEAM, STEP, MAX_STEPS = 400, 64, 30
+DEGREE, PROPOSALS, MAX_ROUNDS, SETTLED = 20, 4, 40, 0.01
+BEAM, STEP, MAX_STEPS = 400, 64, 200
+#: Classes in a part that numbers its own.
+PART_ROWS = 200_000
 #: Nodes of a beam that are scored exactly for each neighbour asked for.
 MARGIN = 5
 
@@ -35,7 +38,7 @@ def valid_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     rows = rows.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
-    return rows.dropDuplicates(["vec_id"])
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _unit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +54,8 @@ def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vec_id, idx) of every row, and (idx, u) of every class of equal vectors; idx is dense from 0."""
     prints = rows.select("vec_id", "v", F.xxhash64("v").alias("pa"), F.xxhash64("v", F.lit(7)).alias("pb"))
     classes = prints.groupBy("pa", "pb").agg(F.min("vec_id").alias("rep"))
-    classes = materialize(classes.withColumn("part", F.pmod("pa", F.lit(64))), "classes")
+    parts = max(64, -(-rows.count() // PART_ROWS))
+    classes = materialize(classes.withColumn("part", F.pmod("pa", F.lit(parts))), "classes")
     counts = classes.groupBy("part").count()
     offsets = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("offset"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("rep")) - 1
@@ -160,8 +164,8 @@ def descend(nodes: DataFrame, n: int, degree: int = DEGREE, rounds: int = MAX_RO
         discard(state)
         state = following
         if changed <= SETTLED * n * degree:
-            break
-    return state
+            return state
+    raise RuntimeError("the neighbour graph did not settle")
 
 
 def _widen(beam: int, step: int):
@@ -223,8 +227,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
         discard(state)
         state = following
         if not state.where(F.size("front") > 0).limit(1).count():
-            break
-    return state.select("q", "ids", "sims")
+            return state.select("q", "ids", "sims")
+    raise RuntimeError("the search did not settle")
 
 
 def cosine(a: Column, b: Column) -> Column:

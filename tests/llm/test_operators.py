@@ -543,6 +543,100 @@ def test_nearest_neighbours(spark):
     assert not nearest(few.where("vec_id = 0")).collect()
 
 
+def test_nearest_neighbours_recall_with_a_small_beam(spark):
+    """The beam holds a twentieth of the nodes, so the graph must lead the search."""
+    from scriptorium.llm.neighbours import nearest
+
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 24)).repeat(50, 0) + 0.8 * rng.normal(size=(2000, 24))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict[int, set[int]] = {}
+    for r in nearest(frame, beam=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 50):
+        order = np.argsort(-(u @ u[q]), kind="stable")
+        hits += len(got[q] & set([i for i in order.tolist() if i != q][:5]))
+    assert hits >= 0.9 * 200
+
+
+def test_parse_is_greedy():
+    """Factors of whole random texts: real, maximal in their source, and with straddling windows all repeats covered."""
+    from scriptorium.llm.substrings import WINDOW, parse
+
+    rng = random.Random(5)
+    for _ in range(40):
+        shared = [rng.choice("abcdefgh") for _ in range(150)]
+        texts = []
+        for _ in range(4):
+            a, b = sorted(rng.sample(range(150), 2))
+            texts.append([rng.choice("abc") for _ in range(rng.randint(0, 30))] + shared[a:b] + shared[a // 2 : b] + [rng.choice("xyz") for _ in range(9)])
+        first: dict[tuple, tuple[int, int]] = {}
+        for d, w in enumerate(texts):
+            found, covered = [], [False] * len(w)
+            for i in range(len(w) - WINDOW + 1):
+                source = first.setdefault(tuple(w[i : i + WINDOW]), (d, i))
+                if source != (d, i):
+                    found.append((i, 1, *source))
+                    covered[i : i + WINDOW] = [True] * WINDOW
+            rng.shuffle(found)
+            factors, got = parse(len(w), *(np.array([f[k] for f in found], np.int64) for k in range(4)))
+            assert got.tolist() == covered
+            end = 0
+            for at, n, source, begin in factors:
+                assert n >= WINDOW and at >= end and texts[source][begin : begin + n] == w[at : at + n] and (source, begin) < (d, at)
+                end = at + n
+
+
+def test_base_spans_of_long_tokens():
+    import time
+
+    from scriptorium.llm.pii import EMAIL, IP, base_spans
+
+    rng = random.Random(1)
+    for k in range(4000):
+        text = "".join(rng.choice("a1 .@-_%+5" if k % 2 else "12..@a") for _ in range(rng.randint(0, 40)))
+        want = [(0, m.start(), m.end()) for m in EMAIL.finditer(text)] + [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        assert [s for s in base_spans(text) if s[0] < 2] == want
+    began = time.time()
+    for text in ("1" * 10**6 + "...", "a" * 10**6 + "@", "1." * 500_000, "a@" * 500_000, "+1" + "(" * 10**6, "." * 10**6 + "1"):
+        base_spans(text)
+    assert time.time() - began < 30
+
+
+def test_decontamination_of_renamed_questions_and_number_tables(spark):
+    from scriptorium.llm.decontaminate import contaminated, decontaminated
+
+    asked = "Natalia has 48 boxes of red apples at her shop. Natalia sells 12 boxes to the first man who walks in. Natalia then gives 6 boxes to an old friend. Natalia wants to know how many boxes are left over."
+    again = asked.replace("Natalia", "Roberta").replace("48", "96").replace("12", "24").replace("6 boxes to an", "9 boxes to an")
+    mixed = again.replace("Roberta then", "Susanne then").replace("24", "96")  # values that do not go with their like
+    table = " ".join(str(i * i % 997) for i in range(60))
+    other = " ".join(str(i * 7 % 100) for i in range(2000))
+    plain = "Some quite different words stand here before the thing. "
+    rows = [(1, plain + again), (None, asked), (3, plain * 5), (3, asked), (4, other), (5, plain + table), (6, mixed), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, asked), (2, table)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in contaminated(docs, bench).collect()}
+    assert {k for k in got if k[0] != 6} == {(1, 1), (None, 1), (3, 1), (5, 2)}
+    assert got[1, 1]["refilled"] and not got[None, 1]["refilled"]
+    assert (6, 1) not in got or got[6, 1]["run_words"] < got[1, 1]["run_words"]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in decontaminated(docs, bench).collect() if r["doc_id"] != 6)
+    assert kept == sorted([(3, plain * 5), (4, other), (7, ""), (8, "")])
+
+
+def test_near_duplicate_stage_tells_rows_apart(spark):
+    import corpus_pipeline
+
+    t, x, u = ("%s one two three four five six seven eight" % w for w in "txu")
+    rows = [(1, t, "a"), (1, t, "a"), (2, x, "a"), (3, x, "b"), (3, u, "b"), (None, u, None), (None, t, None), (5, "", "a"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicate_removal(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, [(1, t), (2, x), (3, u), (5, ""), (None, None)]))
+    assert corpus_pipeline.near_duplicate_removal(spark, docs.limit(0), "").count() == 0
+
+
 def test_nearest_neighbours_of_each_length(spark):
     from scriptorium.llm.neighbours import nearest
 
