@@ -141,6 +141,21 @@ COLUMNS = {
 }
 
 
+_WHOLE = lambda x: f"CAST(round({x}) AS INT)"
+_FLAGS = "(extreme + CASE WHEN anomalous >= 3 THEN 1 ELSE 0 END)"
+#: CNT-01: what an evaluator reads first; without files there is no evidence of the process.
+SUMMARY = f"concat(CASE WHEN {_FLAGS} = 0 THEN 'This analysis found no specific anomalies in the document.' ELSE concat('This analysis identified ', {_FLAGS}, CASE WHEN {_FLAGS} = 1 THEN ' anomaly' ELSE ' anomalies' END, ' warranting further review.') END, ' Process evidence quality is insufficient. Authorship confidence score: ', {_WHOLE('acs')}, '/100 (±', {_WHOLE('margin')}, ').', CASE WHEN {_FLAGS} = 0 THEN '' ELSE ' See anomaly details below.' END)"
+ADVICE = "CASE WHEN acs >= 75 AND anomalous < 3 THEN 'No further action is suggested.' WHEN acs >= 50 THEN 'Talk the text over with its author.' WHEN acs >= 25 THEN 'Ask for drafts and notes.' ELSE 'Ask for drafts, notes and a second reading.' END"
+_ENTRIES = [("register", "label"), ("expected", "expected"), ("atypical", "atypical"), ("anomalous", "anomalous"), ("score", _WHOLE("acs")), ("margin", _WHOLE("margin")), ("reading", "reading")]
+COLUMNS["narrative"] = {"summary": SUMMARY, "advice": ADVICE}
+#: SNK-01: a document's report as text, JSON and HTML.
+COLUMNS["reports"] = {
+    "as_text": "concat(" + ", chr(10), ".join(f"'{k}: ', {e}" for k, e in _ENTRIES) + ")",
+    "as_json": "concat('{', " + ", ', ', ".join(f"""'"{k}": ', """ + (f"""'"', {e}, '"'""" if k in ("register", "reading") else e) for k, e in _ENTRIES) + ", '}')",
+    "as_html": "concat('<dl>', " + ", ".join(f"'<dt>{k}</dt><dd>', replace(replace(concat('', {e}), '&', '&amp;'), '<', '&lt;'), '</dd>'" for k, e in _ENTRIES) + ", '</dl>')",
+}
+
+
 def registers(docs: DataFrame, what: str = "register") -> DataFrame:
     rows = applied(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), all_layers(SPARK))
     return rows.select("doc_id", *[F.expr(e).alias(k) for k, e in COLUMNS[what].items()])

@@ -146,3 +146,36 @@ def length_factor(words: Column) -> Column:
     for bound, value in bounds:
         out = out.when(words < bound, value)
     return out.otherwise(1.0)
+
+
+#: Samples from which a mode is chosen, its name, and its weights of the detector and of the author's match.
+MODES = [(0, "AI Detection (no baseline)", 1.0, 0.0), (2, "Hybrid (AI detection + stylometric comparison)", 0.55, 0.45), (None, "Authorship Verification (full profile)", 0.25, 0.75)]
+
+
+def mode_sql(part: int) -> str:
+    """Name (1) or weights (2, 3) of the mode for a number of samples."""
+    spell = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}e0"
+    return "CASE " + " ".join(f"WHEN samples <= {m[0]} THEN {spell(m[part])}" for m in MODES if m[0] is not None) + f" ELSE {spell(MODES[-1][part])} END"
+
+
+COMPOSITE = f"round(least(greatest({mode_sql(2)} * score + {mode_sql(3)} * (1e0 - confidence), 0e0), 1e0), 4)"
+#: MSC-09: what match and score say together.
+READING = "CASE WHEN confidence > 0.6 AND score <= 0.5 THEN 'author, human patterns' WHEN confidence > 0.6 THEN 'author, with signs of assistance' WHEN score <= 0.5 THEN 'another hand, or a changed style' ELSE 'neither the author nor human patterns' END"
+
+
+def multimode(docs: DataFrame) -> DataFrame:
+    """SCO-12, JOI-11, MSC-09: the detector's score and the author's match, weighted by how many samples of the author there are."""
+    from scriptorium.operators import identity as I
+
+    samples = docs.groupBy("source").agg(F.count(F.lit(1)).alias("samples")).withColumnRenamed("source", "who")
+    found = detect(docs).select("doc_id", "score").join(I.compare(docs).select("doc_id", "author", "confidence"), "doc_id").join(samples, F.col("author").eqNullSafe(F.col("who")))
+    rows = found.select("doc_id", "author", F.expr(mode_sql(1)).alias("mode"), F.expr(COMPOSITE).alias("composite"), F.expr(READING).alias("reading"))
+    return rows.withColumn("tier", tier(F.col("composite"), 1))
+
+
+def feature_csv(docs: DataFrame, path: str) -> None:
+    """SNK-02: label, source, word_count and the features with eight decimals, as CSV with a header."""
+    words = docs.select(F.col("doc_id").alias("source_id"), F.col("source").alias("label"), F.size(T.ws_words(F.col("text"))).alias("word_count"))
+    rows = features(docs).join(words, F.col("doc_id") == F.col("source_id"))
+    decimals = [F.format_string("%.8f", F.coalesce(n, F.lit(0.0))).alias(n) for n in U.NAMES]
+    rows.select("label", F.col("doc_id").alias("source"), "word_count", *decimals).write.option("header", "true").csv(path)

@@ -8,10 +8,13 @@ from scriptorium.functions import lexicons as L
 from scriptorium.functions.dialect import DUCK, quoted
 from scriptorium.operators import countermeasures as M
 from scriptorium.operators import fused as U
+from scriptorium.operators import identity as I
 from scriptorium.operators import register as R
 from scriptorium.operators import scoring as S
+from scriptorium.plans import identity_queries as N
 from scriptorium.plans.text_queries import QUERIES as TEXT
 from scriptorium.plans.text_queries import SENTB, TOK, TOKS, Query, docs, occ, sents
+from scriptorium.session import fresh_path, table
 
 SOURCE = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 SB = sents('")')
@@ -88,6 +91,17 @@ SELECT doc_id, CAST(used AS BIGINT) AS used, round(raw, 5) AS raw, label, round(
 CASE WHEN used < 5 AND score > 0.15 AND score < 0.85 THEN 'INCONCLUSIVE' ELSE {TIER('score', 0)} END AS tier FROM f
 """
 
+MATCH = f"(SELECT doc_id, author, round(least(greatest(1 - distance, 0.0), 1.0) * {N.BY_LENGTH}, 6) AS confidence FROM (SELECT doc_id, author, words, round({I.MEAN_DISTANCE}, 6) AS distance FROM {N.COMPARED}))"
+MULTIMODE = f"SELECT doc_id, author, {S.mode_sql(1)} AS mode, {S.COMPOSITE} AS composite, {S.READING} AS reading, {TIER(S.COMPOSITE, 0)} AS tier FROM (SELECT doc_id, score FROM ({DETECT})) JOIN {MATCH} USING (doc_id) JOIN (SELECT source AS who, count(*) AS samples FROM documents GROUP BY 1) ON author IS NOT DISTINCT FROM who"
+
+
+def csv_round_trip(spark, sf_dir):
+    path = fresh_path(spark, "feature-csv")
+    S.feature_csv(table(spark, sf_dir, "documents"), path)
+    kinds = ", ".join(f"{n} double" for n in U.NAMES)
+    return spark.read.schema(f"label string, source long, word_count long, {kinds}").option("header", "true").csv(path)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "tok_12": (docs(U.tagged), f"WITH {TAGGED} SELECT doc_id, list_value({quoted(list(U.TAGS))})[t + 1] AS tag, count(*) AS n FROM tag GROUP BY ALL"),
     "det_05": (docs(U.pos_entropy), POS_SQL),
@@ -109,5 +123,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "reg_02": (docs(lambda d: R.registers(d, "register")), register_sql("register")),
     "bas_01": (docs(lambda d: R.registers(d, "baselines")), register_sql("baselines")),
     "acs_01": (docs(lambda d: R.registers(d, "acs")), register_sql("acs")),
+    "cnt_01": (docs(lambda d: R.registers(d, "narrative")), register_sql("narrative")),
+    "snk_01": (docs(lambda d: R.registers(d, "reports")), register_sql("reports")),
+    "snk_02": (csv_round_trip, f"SELECT source AS label, f.doc_id AS source, len({M.ws(DUCK, 'text')}) AS word_count, {', '.join(f'coalesce({n}, 0.0) AS {n}' for n in U.NAMES)} FROM {FEATS} f JOIN documents d ON d.doc_id = f.doc_id"),
+    "sco_12": (docs(S.multimode), MULTIMODE),
     "ano_01": (docs(lambda d: R.registers(d, "anomalies")), register_sql("anomalies")),
 }

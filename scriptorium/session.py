@@ -14,10 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named in ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary one; on a cluster, whose machines share no such folder, that is an error.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
+        chosen = context._jsc.sc().getCheckpointDir()
+        if chosen.isDefined():
+            configured = chosen.get()
+        elif context.master.startswith("local"):
+            configured = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
