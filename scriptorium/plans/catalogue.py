@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import docx_queries, format_queries, identity_queries, process_queries, research_queries, score_queries, table_queries, text_queries
+from scriptorium.plans import docx_queries, format_queries, identity_queries, process_queries, record_queries, research_queries, score_queries, table_queries, text_queries
 
-ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **score_queries.QUERIES, **format_queries.QUERIES, **identity_queries.QUERIES, **process_queries.QUERIES, **research_queries.QUERIES, **docx_queries.QUERIES}
+ALL = {**text_queries.QUERIES, **table_queries.QUERIES, **score_queries.QUERIES, **format_queries.QUERIES, **identity_queries.QUERIES, **process_queries.QUERIES, **research_queries.QUERIES, **docx_queries.QUERIES, **record_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
