@@ -82,9 +82,22 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_ws", F.size(F.split("sentence", r"\s+")))
 
 
+def run_lengths(array: str) -> str:
+    """SQL of the lengths of the runs of equal neighbours in a sorted array (a column, which is read for every element)."""
+    starts = f"filter(sequence(1, greatest(size({array}), 1)), j -> j <= size({array}) and (j = 1 or get({array}, j - 1) <> get({array}, j - 2)))"
+    return f"transform(array({starts}), st -> transform(st, (j, k) -> cast(coalesce(get(st, k + 1), size({array}) + 1) - j as bigint)))[0]"
+
+
+def counted(rows: DataFrame, array: Column, *keys: str) -> DataFrame:
+    """(keys, k, c): the distinct elements of an array in order, and how often each occurs; within the row, without a shuffle."""
+    rows = rows.select(*keys, F.sort_array(array).alias("__s"))
+    return rows.select(*keys, F.array_distinct("__s").alias("k"), F.expr(run_lengths("__s")).alias("c"))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, token, n); counts combine before they are shuffled."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    """(doc_id, token, n), counted within the row: what follows groups by document, of which each task has whole ones."""
+    rows = counted(docs, tokens(F.col("text")), "doc_id")
+    return rows.select("doc_id", F.explode(F.arrays_zip("k", "c")).alias("e")).select("doc_id", F.col("e.k").alias("token"), F.col("e.c").alias("n"))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

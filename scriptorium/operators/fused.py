@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
 from scriptorium.functions.dialect import SPARK, Dialect, let, quoted
+from scriptorium.functions.text import run_lengths
 
 TAGS = ("DET", "PRON", "PREP", "CONJ", "MODAL", "AUX", "PART", "ADV", "ADJ", "VERB", "NOUN", "NUM")
 
@@ -47,12 +48,6 @@ def tag_sql(d: Dialect, w: str) -> str:
     return f"CASE {' '.join(cases)} ELSE {TAGS.index('NOUN')} END"
 
 
-def run_lengths(array: str) -> str:
-    """Lengths of the runs of equal neighbours in a sorted array."""
-    starts = f"filter(sequence(1, greatest(size({array}), 1)), j -> j <= size({array}) and (j = 1 or get({array}, j - 1) <> get({array}, j - 2)))"
-    return f"transform(array({starts}), st -> transform(st, (j, k) -> cast(coalesce(get(st, k + 1), size({array}) + 1) - j as bigint)))[0]"
-
-
 def entropy(counts: str) -> str:
     """Of an array of counts, in bits."""
     n = f"aggregate({counts}, 0L, (a, x) -> a + x)"

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
 from scriptorium.functions.dialect import SPARK, Dialect
+from scriptorium.functions.text import run_lengths
 from scriptorium.operators import register as R
 from scriptorium.operators.countermeasures import Layers, applied
-from scriptorium.operators.fused import run_lengths
 from scriptorium.operators.profiles import r6
 from scriptorium.operators.vectors import dot, total
 from scriptorium.session import materialize
@@ -42,7 +42,7 @@ def function_word_vectors(docs: DataFrame) -> DataFrame:
 
 def corpus_statistics(vectors: DataFrame) -> DataFrame:
     """AGG-06: one row with the arrays of means and of population deviations, floored at 1e-10."""
-    per = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(1e-10)).alias("s"))
+    per = vectors.select(F.posexplode(F.slice("v", 1, 1 << 20)).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(1e-10)).alias("s"))
     rows = per.agg(F.sort_array(F.collect_list(F.struct("i", "m", "s"))).alias("a"))  # a hundred rows
     return rows.select(F.transform("a", lambda x: x["m"]).alias("means"), F.transform("a", lambda x: x["s"]).alias("deviations"))
 
@@ -55,7 +55,7 @@ def standardised(vectors: DataFrame) -> DataFrame:
 
 def mean_vectors(z: DataFrame) -> DataFrame:
     """(candidate, p): each author's mean vector."""
-    per = z.select(F.col("author").alias("candidate"), F.posexplode("z").alias("i", "x")).groupBy("candidate", "i").agg(F.avg("x").alias("p"))
+    per = z.select(F.col("author").alias("candidate"), F.posexplode(F.slice("z", 1, 1 << 20)).alias("i", "x")).groupBy("candidate", "i").agg(F.avg("x").alias("p"))
     return per.groupBy("candidate").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("p"))
 
 
@@ -263,7 +263,7 @@ def segments(docs: DataFrame) -> DataFrame:
 def attributed_segments(docs: DataFrame) -> DataFrame:
     """SEG-01, JOI-02: each segment's nearest author by RMS distance of the common features, and whether a document has several hands."""
     owners = docs.select("doc_id", F.col("source").alias("author"))
-    per = window_features(docs).join(owners, "doc_id").where("author is not null").select("author", F.posexplode("v").alias("i", "x")).groupBy("author", "i").agg(F.avg("x").alias("p"))
+    per = window_features(docs).join(owners, "doc_id").where("author is not null").select("author", F.posexplode(F.slice("v", 1, 1 << 20)).alias("i", "x")).groupBy("author", "i").agg(F.avg("x").alias("p"))
     profiles = per.groupBy("author").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda e: e["p"]).alias("p"))
     few = profiles.count() <= BROADCAST_PROFILES
     pairs = segments(docs).join(F.broadcast(profiles) if few else profiles.hint("shuffle_replicate_nl"), how="cross")

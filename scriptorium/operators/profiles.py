@@ -157,9 +157,11 @@ def function_word_summary(docs: DataFrame) -> DataFrame:
 
 
 def top_ngrams(docs: DataFrame, kind: str = "wb", keep: int = 500) -> DataFrame:
-    """NGR-01: relative frequencies of the most frequent n-grams of a document; ties by gram."""
+    """NGR-01: relative frequencies of the most frequent n-grams of a document; ties by gram. Counted and ranked within the row."""
     grams = T.bigram_array(T.ws_words(F.lower("text"))) if kind == "wb" else T.char_ngrams(F.lower("text"), int(kind[1:]))
-    counts = docs.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    by_doc = Window.partitionBy("doc_id")
-    ranked = counts.withColumn("total", F.sum("n").over(by_doc)).withColumn("rank", F.row_number().over(by_doc.orderBy(F.desc("n"), "gram")))
-    return ranked.where(F.col("rank") <= keep).select("doc_id", "gram", "rank", r6(F.col("n") / F.col("total")).alias("freq"))
+    rows = T.counted(docs, grams, "doc_id")
+    best = F.sort_array(F.transform(F.arrays_zip("k", "c"), lambda e: F.struct((-e["c"]).alias("m"), e["k"].alias("gram"))))
+    total = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
+    # the generator takes the expression itself: from a column, a filter would be inferred that makes the arrays anew for every element
+    rows = rows.select("doc_id", total.alias("total"), F.posexplode(F.slice(best, 1, keep)).alias("at", "e"))
+    return rows.select("doc_id", F.col("e.gram").alias("gram"), (F.col("at") + 1).alias("rank"), r6(-F.col("e.m") / F.col("total")).alias("freq"))
