@@ -99,7 +99,7 @@ def argument(d: Dialect) -> Layers:
             "claims": d.size("claim_at"), "evidence": d.size("evidence_at"), "conclusions": d.size("conclusion_at"),
             "pattern": f"CASE WHEN {d.size('claim_at')} > 0 AND {d.size('conclusion_at')} > 0 THEN CASE WHEN {mean('claim_at')} < {mean('conclusion_at')} THEN 'deductive' ELSE 'inductive' END WHEN {d.size('evidence_at')} > 0 AND {d.size('claim_at')} = 0 THEN 'abductive' ELSE 'none' END",
             "strategy": most(("ethos", "pathos", "logos")), "certainty": "certainties * 1e0 / greatest(doubts + certainties, 1)", "abstraction": "abstract * 1e0 / greatest(concrete + abstract, 1)", "orientation": most(("past", "present", "future")),
-            "certainty_spread": f"CASE WHEN {d.size('profile')} > 1 THEN {d.sample_variance('profile')} ELSE 0.0 END",
+            "certainty_spread": f"CASE WHEN {d.size('profile')} > 1 THEN sqrt({d.sample_variance('profile')}) ELSE 0.0 END",
         },
     ]
 
