@@ -39,10 +39,26 @@ def summary(docs: DataFrame) -> DataFrame:
     return rows.groupBy("author").agg(F.count(F.lit(1)).alias("documents"), F.sum("w").alias("words"), r6(F.avg("w")).alias("avg_words"), F.min("w").cast("long").alias("min_words"), F.max("w").cast("long").alias("max_words"))
 
 
+def ranked(rows: DataFrame, group: str, bucket: Column, *order: str) -> DataFrame:
+    """``r`` and ``n``: place within the group, from 1, and the group's size, in two levels: places within buckets, and what lies in the
+    buckets before. Buckets must follow the order; a group with any share of all rows spreads over as many tasks as it has buckets."""
+    rows = rows.withColumn("__b", bucket)
+    sizes = rows.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("c"))
+    by = Window.partitionBy(group)
+    offsets = sizes.select(F.col(group).alias("__g"), F.col("__b").alias("__o"), (F.sum("c").over(by.orderBy("__b")) - F.col("c")).alias("__before"), F.sum("c").over(by).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order))
+    joined = rows.withColumn("__in", inside).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__o")))
+    return joined.withColumn("r", F.col("__before") + F.col("__in")).drop("__b", "__g", "__o", "__before", "__in")
+
+
+#: Ids in a bucket of documents in their order; and low bits of a hash below its bucket.
+BUCKET_IDS, BUCKET_BITS = 100_000, 20
+
+
 def folds(docs: DataFrame, k: int = 5) -> DataFrame:
     """WIN-08: stratified fold numbers, in order within each class."""
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return docs.select("doc_id", "lang", (nth % k).cast("long").alias("fold"))
+    rows = ranked(docs.select("doc_id", "lang"), "lang", F.floor(F.col("doc_id") / BUCKET_IDS), "doc_id")
+    return rows.select("doc_id", "lang", ((F.col("r") - 1) % k).cast("long").alias("fold"))
 
 
 def hashed(key: Column, seed: int = 42) -> Column:
@@ -52,8 +68,8 @@ def hashed(key: Column, seed: int = 42) -> Column:
 
 def stratified_split(docs: DataFrame) -> DataFrame:
     """WIN-09: 70/15/15 within each author, in hashed order."""
-    by = Window.partitionBy("source")
-    rows = docs.select("doc_id", "source", F.row_number().over(by.orderBy(hashed(F.col("doc_id")), "doc_id")).alias("r"), F.count(F.lit(1)).over(by).alias("n"))
+    rows = docs.select("doc_id", "source", hashed(F.col("doc_id")).alias("h"))
+    rows = ranked(rows, "source", F.shiftright("h", BUCKET_BITS), "h", "doc_id")
     train, val = F.floor(F.col("n") * 0.70 + 0.5), F.floor(F.col("n") * 0.15 + 0.5)
     return rows.select("doc_id", "source", F.when(F.col("r") <= train, "train").when(F.col("r") <= train + val, "val").otherwise("test").alias("split"))
 
