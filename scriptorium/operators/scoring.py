@@ -12,7 +12,7 @@ from scriptorium.operators import countermeasures as M
 from scriptorium.operators import detection as D
 from scriptorium.operators import fused as U
 from scriptorium.operators import register as R
-from scriptorium.operators.profiles import r6
+from scriptorium.operators.profiles import half_away, r6
 
 #: Feature, centre, steepness, weight, whether the absolute value counts.
 SCORE_PARAMS = [
@@ -61,7 +61,7 @@ def gated(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
 
 
 def rounded(features: DataFrame, *keys: str) -> DataFrame:
-    return features.select(*keys, *[F.round(n, 6).alias(n) for n in U.NAMES])
+    return features.select(*keys, *[half_away(F.col(n), 6).alias(n) for n in U.NAMES])
 
 
 def features(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from scriptorium.operators import fused as U
 from scriptorium.operators import identity as I
 from scriptorium.operators import register as R
 from scriptorium.operators import scoring as S
+from scriptorium.operators.profiles import half_away
 from scriptorium.plans import identity_queries as N
 from scriptorium.plans.text_queries import QUERIES as TEXT
 from scriptorium.plans.text_queries import SENTB, TOK, TOKS, Query, docs, occ, sents
@@ -107,7 +108,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "det_05": (docs(U.pos_entropy), POS_SQL),
     "det_16": (docs(U.determiner_distance), f"WITH {TOK}, n AS (SELECT doc_id FROM tok GROUP BY 1 HAVING count(*) >= 100), a AS (SELECT * FROM tok WHERE token IN ({quoted(L.DETERMINERS)})), b AS (SELECT * FROM tok WHERE strlen(token) > 2 AND NOT (token LIKE '%ly' OR token LIKE '%ful' OR token LIKE '%ous' OR token LIKE '%ive') AND token NOT IN ({quoted(L.DETERMINERS)})), d AS (SELECT a.doc_id, a.pos, min(b.pos - a.pos) AS d FROM a JOIN b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 7 GROUP BY ALL) SELECT n.doc_id, count(d) AS pairs, round(coalesce(avg(d), 0.0), 6) AS distance FROM n LEFT JOIN d USING (doc_id) GROUP BY 1"),
     "det_27": (docs(U.function_word_clusters), f"WITH {TOK}, k AS (SELECT doc_id, count(*) // 200 AS k FROM tok GROUP BY 1 HAVING count(*) >= 600), f AS (SELECT doc_id, pos // 200 AS w, token, count(*) / 200 AS p FROM tok JOIN k USING (doc_id) WHERE pos // 200 < k AND token IN ({quoted(L.CLUSTER_WORDS)}) GROUP BY ALL), grid AS (SELECT doc_id, k, unnest(range(0, k)) AS w FROM k), r AS (SELECT g.doc_id, g.k, g.w, coalesce(sum(p), 0) AS r FROM grid g LEFT JOIN f ON f.doc_id = g.doc_id AND f.w = g.w GROUP BY ALL), c AS (SELECT doc_id, any_value(k) AS k, CASE WHEN avg(r) > 1e-15 THEN stddev_samp(r) / avg(r) ELSE 0.0 END AS cv FROM r GROUP BY 1), pairs AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.w + 1, b.w) AS w, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q FROM f a FULL JOIN f b ON a.doc_id = b.doc_id AND a.w + 1 = b.w AND a.token = b.token), j AS (SELECT doc_id, sum((CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2) AS j FROM pairs JOIN k USING (doc_id) WHERE w BETWEEN 1 AND k - 1 GROUP BY 1) SELECT c.doc_id, CAST(k AS INT) AS windows, round(cv, 6) AS ratio_cv, round(coalesce(j, 0) / (k - 1), 6) AS divergence FROM c LEFT JOIN j USING (doc_id)"),
-    "det_28": (docs(lambda d: S.features(d).select("doc_id", *[F.round(n, 5).alias(n) for n in U.NAMES])), f"SELECT doc_id, {', '.join(f'round({n}, 5) AS {n}' for n in U.NAMES)} FROM {FEATS}"),
+    "det_28": (docs(lambda d: S.features(d).select("doc_id", *[half_away(F.col(n), 5).alias(n) for n in U.NAMES])), f"SELECT doc_id, {', '.join(f'round({n}, 5) AS {n}' for n in U.NAMES)} FROM {FEATS}"),
     "par_01": (docs(lambda d: U.features(d).select("doc_id", *[F.col(n).isNotNull().alias(n) for n in U.NAMES])), f"SELECT doc_id, {', '.join(f'{n} IS NOT NULL AS {n}' for n in U.NAMES)} FROM ({fused_sql()})"),
     "sco_01": (docs(lambda d: S.feature_scores(d).select("doc_id", "feature", F.round("score", 4).alias("score"))), "WITH f AS " + FEATS + " SELECT doc_id, feature, round(score, 4) AS score FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS feature, {S.one_score(n)} AS score FROM f WHERE {n} IS NOT NULL" for n in U.NAMES) + ")"),
     "sco_02": (docs(S.composite), f"SELECT doc_id, CAST(used AS BIGINT) AS features, round(raw, 4) AS score, {TIER('round(raw, 4)', 0)} AS tier, {TIER('round(raw, 4)', 1)} AS action FROM {SCORED}"),

@@ -71,3 +71,12 @@ def test_library_without_llm():
     root = pathlib.Path(scriptorium.__file__).parent
     others = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
     assert others and not any(re.search(r"scriptorium\.llm|corpus_pipeline", p.read_text()) for p in others)
+
+
+@pytest.mark.parametrize("key", ["det_28"])
+def test_halves_are_rounded_as_in_sql(spark, key):
+    sf_dir = "/root/testdata/sf0.01"  # its documents hold values halfway between two decimals
+    got, want = catalogue.queries()[key](spark, sf_dir).toPandas(), oracle(sf_dir).execute(catalogue.oracle_sql()[key]).df()
+    got, want = (x[sorted(want.columns)].sort_values("doc_id").reset_index(drop=True) for x in (got, want))
+    differ = {c: int(((got[c] != want[c]) & ~(got[c].isna() & want[c].isna())).sum()) for c in want.columns}
+    assert len(got) == len(want) and not any(differ.values()), differ
