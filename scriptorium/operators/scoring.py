@@ -115,12 +115,15 @@ def heatmap(docs: DataFrame) -> DataFrame:
     at = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size(w) - {HEAT_SIZE}) div {HEAT_STEP}").cast("long"))).alias("win"))
     texts = at.select("doc_id", "win", F.array_join(F.slice("w", (F.col("win") * HEAT_STEP + 1).cast("int"), HEAT_SIZE), " ").alias("text"))
     scored = rounded(U.features(texts, "doc_id", "win"), "doc_id", "win")
-    return scored.select("doc_id", "win", (F.col("win") * HEAT_STEP).alias("word_start"), (F.col("win") * HEAT_STEP + HEAT_SIZE).alias("word_end"), F.expr(used_sql()).cast("long").alias("features"), F.round(F.expr(score_sql()), 4).alias("score"))
+    return scored.select("doc_id", "win", (F.col("win") * HEAT_STEP).alias("word_start"), (F.col("win") * HEAT_STEP + HEAT_SIZE).alias("word_end"), F.expr(used_sql()).cast("long").alias("features"), half_away(F.expr(score_sql()), 4).alias("score"))
 
 
 def heat_summary(docs: DataFrame) -> DataFrame:
     """SCO-11: least, greatest and mean score of a document's windows."""
-    return heatmap(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.round(F.avg("score"), 4).alias("mean"))
+    rows = heatmap(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("win", "score"))).alias("w")).withColumn("s", F.col("w.score"))
+    # scores are added in the windows' order, so that a mean halfway between two values is the same each time
+    mean = half_away(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s"), 4)
+    return rows.select("doc_id", F.size("s").cast("long").alias("windows"), F.array_min("s").alias("lo"), F.array_max("s").alias("hi"), mean.alias("mean"))
 
 
 def tier(score: Column, part: int) -> Column:
