@@ -18,6 +18,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from scriptorium.session import fresh_path
 SEGMENT_IDS = 1 << 20
 #: Text bytes a shard file should cover.
 SHARD_BYTES = 48 << 20
+#: Text bytes that a worker encodes at once, and that reach it at once; about 30 times as much memory is needed meanwhile.
+BATCH_BYTES, ARROW_BYTES = 3 << 20, 8 << 20
 #: Bits between two rank samples.
 SAMPLE = 512
 MAGIC = b"WVM1"
@@ -54,9 +58,9 @@ class WaveletMatrix:
             bits = (codes >> level) & 1
             planes.append(_packed(bits))
             ones = bits.view(np.bool_) if bits.dtype == np.uint8 else bits.astype(np.bool_)
-            low = codes[~ones]
+            low = codes.take(np.flatnonzero(~ones))  # positions cost a fraction of what a random mask does
             zeros.append(len(low))
-            codes = np.concatenate([low, codes[ones]])
+            codes = np.concatenate([low, codes.take(np.flatnonzero(ones))])
         return cls(alphabet, len(ids), planes, zeros)
 
     # -- succinct queries ------------------------------------------------------------------
@@ -135,8 +139,8 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             ones = _unpacked(self.planes[level], self.n)
             above = np.empty_like(codes)
-            above[~ones] = codes[: self.zeros[level]]
-            above[ones] = codes[self.zeros[level] :] | codes.dtype.type(1 << (levels - 1 - level))
+            above[np.flatnonzero(~ones)] = codes[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = codes[self.zeros[level] :] | codes.dtype.type(1 << (levels - 1 - level))
             codes = above
         return self.alphabet[codes]
 
@@ -223,6 +227,7 @@ class ChunkIds:
             word = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0]
             spelled.update(zip(c.encode(), word, strict=True))
         self.spelling = {byte: ord(letter) for byte, letter in spelled.items()}
+        self.space = spelled[32]
         self.forget()
 
     def forget(self) -> None:
@@ -231,6 +236,8 @@ class ChunkIds:
 
     def word(self, key: str) -> list[int]:
         """Ids of one pre-token."""
+        if key.isascii() and key[0] != HEAD:  # the letters of a word spell themselves
+            return [t.id for t in self.model.tokenize(self.space + key)]
         text = key[1:] if key[0] == HEAD else " " + key
         return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.spelling))]
 
@@ -268,7 +275,7 @@ class ChunkIds:
         """Append the ids of chunks that are not known yet."""
         found = self.spell(keys.to_pylist())
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), "<u4", int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum()))])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.met = np.concatenate([self.met, np.zeros(len(sizes), np.int64)])
         self.known = pa.concat_arrays([self.known, keys.cast(pa.large_string())])
@@ -361,7 +368,7 @@ def _write_segments(source: Iterator[pa.RecordBatch], path: str, end_id: int) ->
         kinds = {"part": pa.int32(), "seg": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in kinds.items()], list(kinds))
 
-    for rows in batches(source, 6 << 20):
+    for rows in batches(source, BATCH_BYTES):
         for doc, one, part in zip(rows.column("doc_id").to_pylist(), encode_texts(rows.column("text").combine_chunks(), cache), rows.column("part").to_pylist(), strict=True):  # noqa: B020
             docs.append(doc)
             held.append(np.concatenate([one, end]))
@@ -373,12 +380,25 @@ def _write_segments(source: Iterator[pa.RecordBatch], path: str, end_id: int) ->
         yield segment()
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Bound the bytes that reach a worker at once, whatever the rows' lengths; Spark bounds their number alone so low."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shards: int) -> None:
     """Encode every whole text and write the shard files, in ascending ``doc_id`` order."""
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = ranged.repartitionByRange(shards, F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     files = ranged.mapInArrow(tidy(lambda it: _write_segments(it, tokenizer_path, end_id)), FILE_SCHEMA)
-    files.write.option("compression", "none").parquet(path)
+    with arrow_batches(docs.sparkSession, ARROW_BYTES):
+        files.write.option("compression", "none").parquet(path)
 
 
 def _read_segments(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

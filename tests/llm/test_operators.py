@@ -677,3 +677,22 @@ def test_pipeline_stages(spark, sf_dir):
             assert after.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
         kept = after
     assert seen[0][1] >= 0.95 * seen[0][0] and seen[1][1] < seen[1][0] and seen[2][1] < seen[2][0]
+
+
+def test_bytes_that_reach_the_encoder_are_bounded(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from scriptorium.llm import tokens
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.range(0, 300, 1, 1).selectExpr("id as doc_id", "repeat('lorem ipsum ', 8000) as text")
+
+    def sizes(it, *_):
+        for batch in it:
+            yield pa.RecordBatch.from_pydict({"part": [0], "seg": [0], "n_ids": [batch.nbytes], "doc_ids": [[]], "lengths": [[]], "payload": [b""]}, schema=pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())]))
+
+    monkeypatch.setattr(tokens, "_write_segments", sizes)
+    tokens.write_token_files(docs, str(tmp_path / "sizes"), "unused", 2, 1)
+    got = [r["n_ids"] for r in spark.read.parquet(str(tmp_path / "sizes")).collect()]
+    assert sum(got) > 28_000_000 and max(got) < 12 << 20 and spark.conf.get(key, None) == before
