@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,29 @@ class Sample:
     seed: int = 5
 
 
+class GramIds(dict):
+    """Short feature -> its hash, remembered up to a bound: words are many, their n-grams few."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[gram] = xxhash.xxh32_intdigest(gram) & (DIMENSIONS - 1)
+        return value
+
+
+GRAMS = GramIds()
+
+
 def feature_ids(word: str) -> list[int]:
     """Hashed features of one lower-cased word: identity, affixes and inner n-grams."""
     marked = f"^{word[:40]}$"
-    names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3))]
-    names += [marked[i : i + k] for k in (2, 3) for i in range(len(marked) - k + 1)]
-    return [xxhash.xxh32_intdigest(x) & (DIMENSIONS - 1) for x in names]
+    n = len(marked)
+    names = ["p" + word[:1], "p" + word[:2], "p" + word[:3], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:]]
+    names += [marked[i : i + 2] for i in range(n - 1)]
+    names += [marked[i : i + 3] for i in range(n - 2)]
+    return [xxhash.xxh32_intdigest("w" + word) & (DIMENSIONS - 1), *map(GRAMS.__getitem__, names)]
 
 
 @dataclass
@@ -72,7 +90,7 @@ class Model:
         out = np.zeros((len(words), len(self.languages)), np.float32)
         ids = [feature_ids(w) for w in words]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
         if len(words):
             out += np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
             member = np.fromiter((self.lexicons.get(w, 0) for w in words), np.int64, len(words))
@@ -212,29 +230,33 @@ class Labeller:
     """Applies a model to texts; remembers words up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.index = model, {}
+        self.model, self.index, self.again = model, {}, set()
         self.psi = np.empty((0, len(model.languages)), np.float32)
         self.step = np.exp(model.transitions - model.transitions.max())
 
     def _learn(self, seen: set[str]) -> None:
         fresh = [w for w in seen if w not in self.index]
-        if len(self.index) + len(fresh) > CACHE_WORDS:
-            self.index.clear()
-            self.psi, fresh = self.psi[:0], list(seen)
+        hits = seen.difference(fresh)
+        self.again |= hits
+        if len(self.index) + len(fresh) > CACHE_WORDS:  # keep what was met again since the last time, or at least what is needed now
+            kept = self.again if len(self.again) + len(fresh) <= CACHE_WORDS else hits
+            rows = np.fromiter(map(self.index.__getitem__, kept), np.int64, len(kept))
+            self.index, self.psi, self.again = dict(zip(kept, range(len(kept)), strict=True)), self.psi[rows], set()
         score = np.concatenate([self.model.emissions(fresh[i : i + 20_000]) for i in range(0, max(1, len(fresh)), 20_000)])
         psi = np.maximum(np.exp(score - score.max(1, keepdims=True)) if len(fresh) else score, 1e-6)
         self.index.update(zip(fresh, range(len(self.psi), len(self.psi) + len(fresh)), strict=True))
         self.psi = np.concatenate([self.psi, psi])
 
     def words(self, text: str) -> list[str]:
-        return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+        found = LETTERS.findall(text.lower())
+        return found if "".join(found).isalpha() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
     def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Posteriors of all words of the texts, one after another, and the texts' word counts."""
         split = [self.words(t) for t in texts]
-        self._learn({w for words in split for w in words})
+        self._learn(set(chain.from_iterable(split)))
         lengths = np.array([len(w) for w in split], np.int64)
-        rows = np.fromiter(map(self.index.__getitem__, (w for words in split for w in words)), np.int64, int(lengths.sum()))
+        rows = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
         some = lengths[lengths > 0]
         return (_posteriors(self.psi[rows], some, self.step) if len(some) else np.empty((0, self.psi.shape[1]), np.float32)), lengths
 

@@ -679,6 +679,33 @@ def test_pipeline_stages(spark, sf_dir):
     assert seen[0][1] >= 0.95 * seen[0][0] and seen[1][1] < seen[1][0] and seen[2][1] < seen[2][0]
 
 
+def test_words_are_remembered_across_a_full_cache(monkeypatch):
+    from scriptorium.llm import langid
+
+    rows = [("the cat and the dog of the house " * 4, "en"), ("der Hund und die Katze in dem Haus " * 4, "de")]
+    model = langid.train(rows * 3, epochs=2)
+    texts = [f"the cat and wort{i}en house{i} {chr(97 + i)}x der hund" for i in range(20)]
+    want = [langid.Labeller(model).predict([t]) for t in texts]
+    hashed = []
+    monkeypatch.setattr(langid, "CACHE_WORDS", 14)
+    monkeypatch.setattr(langid, "feature_ids", lambda w, f=langid.feature_ids: hashed.append(w) or f(w))
+    labeller = langid.Labeller(model)
+    assert [labeller.predict([t]) for t in texts] == want
+    assert hashed.count("the") == 1 and len(labeller.index) <= 14
+
+
+def test_short_features_are_hashed_once(monkeypatch):
+    from scriptorium.llm import langid
+
+    langid.GRAMS.clear()
+    want, calls = langid.feature_ids("wörter"), []
+    real = langid.xxhash.xxh32_intdigest
+    monkeypatch.setattr(langid.xxhash, "xxh32_intdigest", lambda x: calls.append(x) or real(x))
+    assert langid.feature_ids("wörter") == want and calls == ["wwörter"]
+    names = ["wwörter", *(f"p{'wörter'[:k]}" for k in (1, 2, 3)), *(f"s{'wörter'[-k:]}" for k in (1, 2, 3)), *("^wörter$"[i : i + k] for k in (2, 3) for i in range(9 - k))]
+    assert want == [real(x) & (langid.DIMENSIONS - 1) for x in names]
+
+
 def test_bytes_that_reach_the_encoder_are_bounded(spark, tmp_path, monkeypatch):
     import pyarrow as pa
 
