@@ -20,7 +20,7 @@ from scriptorium.llm.langid import UNDETERMINED, fit, identify
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.neardup import LAST, near_duplicates
 from scriptorium.llm.tokens import token_ids
-from scriptorium.session import fresh_path, materialize, table
+from scriptorium.session import fresh_path, materialize, reclaim_executors, table
 
 #: A document whose likeliest language has a smaller share of its words' posterior is rejected.
 LANGUAGE_SHARE = 0.4
@@ -79,6 +79,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Writes the token files and reports every document of the mix from them."""
     import public_tokenizers
 
+    reclaim_executors(spark)  # the encoders' memory comes on top of the heaps that the stages before have filled
     return token_ids(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 

@@ -723,3 +723,19 @@ def test_bytes_that_reach_the_encoder_are_bounded(spark, tmp_path, monkeypatch):
     tokens.write_token_files(docs, str(tmp_path / "sizes"), "unused", 2, 1)
     got = [r["n_ids"] for r in spark.read.parquet(str(tmp_path / "sizes")).collect()]
     assert sum(got) > 28_000_000 and max(got) < 12 << 20 and spark.conf.get(key, None) == before
+
+
+def test_executors_collect_garbage_before_the_token_stage(spark, monkeypatch):
+    import corpus_pipeline as P
+    from scriptorium.session import reclaim_executors
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    collections = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans())
+    before = collections()
+    reclaim_executors(spark)  # in a local session the driver is the executor
+    assert collections() > before
+    done = []
+    monkeypatch.setattr(P, "reclaim_executors", lambda session: done.append("reclaim"), raising=False)
+    monkeypatch.setattr(P, "token_ids", lambda *_, **__: done.append("tokens"))
+    P.token_output(spark, None, "")
+    assert done == ["reclaim", "tokens"]
