@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.session import discard, materialize
+from scriptorium.session import discard, materialize, reclaim_driver
 
 DEGREE, PROPOSALS, MAX_ROUNDS, SETTLED = 20, 4, 40, 0.01
 BEAM, STEP, MAX_STEPS = 400, 64, 200
@@ -162,6 +162,7 @@ def descend(nodes: DataFrame, n: int, degree: int = DEGREE, rounds: int = MAX_RO
         following = materialize(grouped.mapInArrow(_keep_nearest(degree), schema), "graph")
         changed = following.agg(F.sum(F.size(F.filter("freshs", lambda x: x)))).first()[0] or 0
         discard(state)
+        reclaim_driver(nodes.sparkSession)
         state = following
         if changed <= SETTLED * n * degree:
             return state
@@ -225,6 +226,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = B
         following = state.drop("front").join(fresh, "q", "left").withColumn("fresh", F.coalesce("fresh", F.expr("cast(array() as array<struct<cand:int,u:binary>>)")))
         following = materialize(following.mapInArrow(_widen(beam, step), state_schema), "beams")
         discard(state)
+        reclaim_driver(nodes.sparkSession)
         state = following
         if not state.where(F.size("front") > 0).limit(1).count():
             return state.select("q", "ids", "sims")

@@ -725,6 +725,17 @@ def test_bytes_that_reach_the_encoder_are_bounded(spark, tmp_path, monkeypatch):
     assert sum(got) > 28_000_000 and max(got) < 12 << 20 and spark.conf.get(key, None) == before
 
 
+def test_rounds_of_the_descent_and_search_collect_the_drivers_garbage(spark, sf_dir, monkeypatch):
+    from scriptorium.llm import neighbours as N
+    from scriptorium.session import discard, table
+
+    done = []
+    monkeypatch.setattr(N, "discard", lambda df: done.append("discard") or discard(df))
+    monkeypatch.setattr(N, "reclaim_driver", lambda session: done.append("reclaim"), raising=False)
+    rows = N.nearest(table(spark, sf_dir, "embeddings").limit(60), every=20).collect()
+    assert rows and len(done) >= 4 and done == ["discard", "reclaim"] * (len(done) // 2)
+
+
 def test_executors_collect_garbage_before_the_token_stage(spark, monkeypatch):
     import corpus_pipeline as P
     from scriptorium.session import reclaim_executors
