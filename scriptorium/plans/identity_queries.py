@@ -8,7 +8,6 @@ from scriptorium.operators import countermeasures as M
 from scriptorium.operators import identity as I
 from scriptorium.operators import register as R
 from scriptorium.operators import vectors as V
-from scriptorium.operators.profiles import r6
 from scriptorium.plans.text_queries import TOK, Query, docs, on, quoted
 
 WORDS = M.ws(DUCK, "text")
@@ -43,5 +42,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "ida_02": (docs(I.profile_anomalies), f"WITH r AS ({OWN}), m AS (SELECT author AS who, avg(ttr) AS t, avg(avg_word_length) AS l FROM r GROUP BY 1) SELECT doc_id, abs(ttr - t) > 0.15 AS ttr_anomaly, abs(avg_word_length - l) > 1.0 AS length_anomaly FROM r JOIN m ON r.author IS NOT DISTINCT FROM m.who"),
     "chg_01": (docs(lambda d: I.segments(d).drop("v")), None),
     "seg_01": (docs(I.attributed_segments), None),
-    "dst_03_kl": (on("embeddings", lambda v: V.query_pairs(v).select("query_id", "vec_id", r6(I.kullback(V.distribution(V.F.col("q")), V.distribution(V.F.col("v")))).alias("kl"))), "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS v FROM e) SELECT a.vec_id AS query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: CASE WHEN z[1] <= 1e-10 THEN 0.0 WHEN z[2] <= 1e-10 THEN CAST('inf' AS DOUBLE) ELSE z[1] * ln(z[1] / z[2]) END)), 6) AS kl FROM n a, n b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id"),
+    "dst_03_kl": (on("embeddings", V.kullback), "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS v FROM e) SELECT a.vec_id AS query_id, b.vec_id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: CASE WHEN z[1] <= 1e-10 THEN 0.0 WHEN z[2] <= 1e-10 THEN CAST('inf' AS DOUBLE) ELSE z[1] * ln(z[1] / z[2]) END)), 6) AS kl FROM n a, n b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id"),
 }
