@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from scriptorium.functions import kernels as K
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
-from scriptorium.operators.profiles import listed, pearson, r6, ratio
+from scriptorium.operators import measures
+from scriptorium.operators.profiles import listed, r6, ratio
 
 
 def by_doc() -> WindowSpec:
@@ -229,15 +232,6 @@ def pronoun_shifts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(r6(F.avg((F.col("w") != F.col("before")).cast("double"))).alias("shifts"))
 
 
-def diversity_length(docs: DataFrame, size: int = 200) -> DataFrame:
+def diversity_length(docs: DataFrame) -> DataFrame:
     """DET-06: correlation over token windows of the type-token ratio with the mean length of the sentences in proportion."""
-    base = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.transform(T.sentences(F.col("text")), lambda s: F.size(F.split(s, r"\s+"))).alias("lens")).where(f"n >= {2 * size}")
-    base = base.withColumn("k", F.expr(f"n div {size}")).withColumn("enough", (F.col("k") >= 3) & (F.size("lens") >= F.col("k")))
-    ttr = fixed_windows(docs, size).select("doc_id", "win", (F.col("distinct_tokens") / size).alias("ttr"))
-    at = lambda edge: F.floor(edge * size / F.col("n") * F.size("lens")).cast("int")
-    rows = base.join(ttr, "doc_id").withColumn("a", at(F.col("win"))).withColumn("b", F.least(at(F.col("win") + 1), F.size("lens")))
-    some = F.slice("lens", F.col("a") + 1, F.greatest(F.col("b") - F.col("a"), F.lit(0)))
-    mean = F.when(F.col("b") > F.col("a"), F.aggregate(some, F.lit(0), lambda x, y: x + y) / (F.col("b") - F.col("a"))).otherwise(0.0)
-    per = rows.select("doc_id", "enough", "ttr", mean.alias("m")).groupBy("doc_id", "enough").agg(pearson("ttr", "m").alias("c"))
-    value = F.when(F.col("enough"), F.coalesce("c", F.lit(0.0))).otherwise(0.0)
-    return per.select("doc_id", F.round(value, 4).alias("correlation"))
+    return K.mapped(docs, ["doc_id"], measures.diversity_of, {"correlation": pa.float64()})
