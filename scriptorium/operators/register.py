@@ -1,15 +1,18 @@
 """Register of a document: its features, the rules that choose it, the baselines of its category, and the scores made from both.
 
-All within the row, stated once for both SQL dialects.
+All within the row. The features are measured by a kernel, and stated in SQL for the database that checks them; the rest is stated once for both.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions import kernels as K
 from scriptorium.functions import lexicons as L
 from scriptorium.functions.dialect import SPARK, Dialect
+from scriptorium.operators import measures
 from scriptorium.operators.countermeasures import Layers, applied, ws
 
 FIRST_PERSON = L.FIRST_PERSON
@@ -127,8 +130,23 @@ def margin(forensics: str, stylometric: str, baselines: str) -> str:
     return f"greatest(25.0 {parts}, 5.0)"
 
 
+def further_layers(d: Dialect) -> Layers:
+    """All that is made of the features."""
+    return [*rule_layers(d), *baseline_layers(d), *confidence_layers(d)]
+
+
 def all_layers(d: Dialect) -> Layers:
-    return [*feature_layers(d), *rule_layers(d), *baseline_layers(d), *confidence_layers(d)]
+    return [*feature_layers(d), *further_layers(d)]
+
+
+#: What a kernel measures for the register, and for a comparison beyond; formality and technical level are made of these.
+FIELDS = {n: pa.int64() if n == "n" else pa.float64() for n in measures.REGISTER}
+COMPARED_FIELDS = FIELDS | {n: pa.int64() if n == "words" else pa.float64() for n in measures.COMPARED}
+
+
+def measured(docs: DataFrame, *keys: str) -> DataFrame:
+    """REG-01: ``keys`` and the features of each text."""
+    return applied(K.mapped(docs, list(keys), lambda text: [measures.register(text)], FIELDS), feature_layers(SPARK)[3:])
 
 
 #: Columns of each query, as name and expression.
@@ -157,7 +175,7 @@ COLUMNS["reports"] = {
 
 
 def registers(docs: DataFrame, what: str = "register") -> DataFrame:
-    rows = applied(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), all_layers(SPARK))
+    rows = applied(measured(docs, "doc_id"), further_layers(SPARK))
     return rows.select("doc_id", *[F.expr(e).alias(k) for k, e in COLUMNS[what].items()])
 
 
