@@ -1,40 +1,26 @@
 """All scored detection features of a text in one pass over its row.
 
-Every feature is an expression over the arrays of the text's words, sentences and paragraphs, which are made once; nothing is exploded and
-nothing is shuffled, so the plan is one narrow projection at any scale.
+Every feature is read off the text's words, sentences and paragraphs, which a kernel makes once; nothing is exploded and nothing is shuffled,
+so the plan is one narrow step at any scale.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions import kernels as K
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
 from scriptorium.functions.dialect import SPARK, Dialect, let, quoted
 from scriptorium.functions.text import run_lengths
+from scriptorium.operators import measures
+from scriptorium.operators.measures import TAGS, verb_forms
 
-TAGS = ("DET", "PRON", "PREP", "CONJ", "MODAL", "AUX", "PART", "ADV", "ADJ", "VERB", "NOUN", "NUM")
-
-
-def verb_forms() -> list[str]:
-    """The tagger's verbs: bases with their regular forms, and irregular pasts."""
-
-    def third(v: str) -> str:
-        if v.endswith("y") and v[-2] not in "aeiou":
-            return v[:-1] + "ies"
-        return v + ("es" if v.endswith(("ch", "ss", "sh", "go", "do")) else "s")
-
-    def past(v: str) -> str:
-        if v.endswith("y") and v[-2] not in "aeiou":
-            return v[:-1] + "ied"
-        return {"stop": "stopped"}.get(v, v + ("d" if v.endswith("e") else "ed"))
-
-    out = [f for v in L.POS_REGULAR_VERBS for f in (v, past(v), third(v))]
-    for forms in L.POS_IRREGULAR_VERBS.split(","):
-        base, *rest = forms.split()
-        out += [base, *rest, third(base)]
-    return out + L.POS_OTHER_VERB_FORMS
+NAMES = list(measures.FEATURES)
+#: The features as the columns of a kernel.
+FIELDS = dict.fromkeys(NAMES, pa.float64())
 
 
 def tag_sql(d: Dialect, w: str) -> str:
@@ -54,117 +40,9 @@ def entropy(counts: str) -> str:
     return let(n, "n_", f"-aggregate({counts}, 0D, (a, c) -> a + (c / n_) * log2(c / n_))")
 
 
-def _sum(array: str) -> str:
-    return f"aggregate({array}, 0D, (a, x) -> a + x)"
-
-
-FIRST = r"regexp_replace(lower(get(split({}, '\\s+'), 0)), '[^\\p{{L}}]', '')"
-
-
-def layers() -> list[dict[str, str]]:
-    """Named expressions, each layer over those before."""
-    listed = lambda w, words: f"{w} IN ({SPARK.words(words)})"
-    in_window = "filter(g, r -> r.i < wins)"
-    value = "if(x.v + x.mu = 0, 0D, (x.v - x.mu) / (x.v + x.mu))"
-    mean = "aggregate(lens, 0D, (a, x) -> a + x) / nullif(size(lens), 0)"
-    marks = [f"cast((length(text) - length(replace(text, {SPARK.text(m)}, ''))) as bigint)" for m in L.PUNCTUATION_DIVERSITY]
-    places = lambda t, p: f"cast((length({t}) - length(replace({t}, {SPARK.text(p)}, ''))) / {len(p)} as bigint)"
-    return [
-        {"toks": SPARK.tokens("text"), "low": "lower(text)"},
-        {
-            "n": "size(toks)",
-            "big": "filter(toks, w -> octet_length(w) > 1)",
-            "alpha": "sort_array(filter(toks, w -> w rlike '\\\\p{L}'))",
-            "content": f"filter(toks, w -> octet_length(w) > 2 and not {listed('w', L.FUNCTION_WORDS)})",
-            "tags": f"transform(toks, w -> {tag_sql(SPARK, 'w')})",
-        },
-        {
-            "wins": "nullif(size(big) div 100, 0)",
-            "spread": f"sort_array(filter(transform(big, (w, i) -> named_struct('w', w, 'i', i div 100)), x -> not {listed('x.w', L.FUNCTION_WORDS)}))",
-            "freqs": f"reverse(sort_array({run_lengths('alpha')}))",
-            "tri": "sort_array(if(n >= 20, transform(sequence(1, n - 2), i -> get(tags, i - 1) * 144 + get(tags, i) * 12 + get(tags, i + 1)), cast(array() as array<int>)))",
-            "lens": "transform(sa, s -> size(split(s, '\\\\s+')))",
-            "halves": "array(slice(content, 1, size(content) div 2), slice(content, size(content) div 2 + 1, size(content)))",
-            "opens": f"transform(sb, s -> {FIRST.format('s')})",
-            "para_words": "transform(paras, p -> transform(split(p, '\\\\s+'), w -> octet_length(w)))",
-            "para_sets": f"transform(paras, p -> array_distinct(filter({SPARK.tokens('p')}, w -> octet_length(w) > 2 and not {listed('w', L.PARAGRAPH_STOP_WORDS)})))",
-            "marks": f"filter(array({', '.join(marks)}), c -> c > 0)",
-        },
-        {
-            "starts": "filter(sequence(1, greatest(size(spread), 1)), j -> j <= size(spread) and (j = 1 or get(spread, j - 1) <> get(spread, j - 2)))",
-            "levels": "transform(filter(para_words, b -> size(b) >= 10), b -> 0.6D * aggregate(b, 0D, (a, x) -> a + x) / size(b) + 4D * size(filter(b, x -> x > 8)) / size(b))",
-            "v": "cast(size(freqs) as bigint)",
-            "lx": "transform(sequence(1, greatest(size(freqs), 1)), k -> ln(k))",
-            "ly": "transform(freqs, c -> ln(c))",
-            "dev": let(mean, "m_", "transform(lens, x -> x - m_)"),
-            "k200": "n div 200",
-        },
-        {
-            "runs": "transform(starts, (j, k) -> named_struct('w', get(spread, j - 1).w, 'i', get(spread, j - 1).i, 'c', cast(coalesce(get(starts, k + 1), size(spread) + 1) - j as bigint)))",
-            "sx": _sum("lx"), "sy": _sum("ly"), "sxx": _sum("transform(lx, x -> x * x)"), "sxy": _sum("zip_with(lx, ly, (x, y) -> coalesce(x * y, 0D))"),
-            "ttrs": "if(k200 >= 3 and size(lens) >= k200 and n >= 400, transform(sequence(0, k200 - 1), w -> size(array_distinct(slice(toks, w * 200 + 1, 200))) / 200D), cast(array() as array<double>))",
-            "edges": "if(k200 >= 3 and size(lens) >= k200 and n >= 400, transform(sequence(0, k200), w -> cast(floor(w * 200 / n * size(lens)) as int)), cast(array() as array<int>))",
-            "quarter": "nullif(size(sb) div 4, 0)",
-            "passive": r"transform(sb, s -> if(concat(' ', lower(regexp_replace(regexp_replace(s, '[^\\p{L}\\s]', ''), '\\s+', ' ')), ' ') rlike ' (?:was|were|is|are|been|being) [^ ]*(?:ed|en) ', 1D, 0D))",
-        },
-        {
-            "words_at": "filter(sequence(1, greatest(size(runs), 1)), j -> j <= size(runs) and (j = 1 or get(runs, j - 1).w <> get(runs, j - 2).w))",
-            "sent_means": "if(size(edges) > 0, transform(sequence(0, size(edges) - 2), w -> if(least(get(edges, w + 1), size(lens)) > get(edges, w), aggregate(slice(lens, get(edges, w) + 1, least(get(edges, w + 1), size(lens)) - get(edges, w)), 0D, (a, x) -> a + x) / (least(get(edges, w + 1), size(lens)) - get(edges, w)), 0D)), cast(array() as array<double>))",
-            "slope": "(v * sxy - sx * sy) / nullif(v * sxx - sx * sx, 0D)",
-            "chunks": "if(size(sb) >= 20, transform(sequence(0, (size(sb) - 1) div quarter), c -> aggregate(slice(passive, c * quarter + 1, quarter), 0D, (a, x) -> a + x) / size(slice(passive, c * quarter + 1, quarter))), cast(array() as array<double>))",
-        },
-        {
-            "groups": "transform(words_at, (j, k) -> slice(runs, j, coalesce(get(words_at, k + 1), size(runs) + 1) - j))",
-        },
-        {
-            "tracked": f"transform(filter(groups, g -> aggregate(g, 0L, (a, r) -> a + r.c) >= 3), g -> named_struct('mu', aggregate({in_window}, 0D, (a, r) -> a + r.c) / wins, 'v', (aggregate({in_window}, 0D, (a, r) -> a + r.c * r.c) - aggregate({in_window}, 0D, (a, r) -> a + r.c) * aggregate({in_window}, 0D, (a, r) -> a + r.c) / wins) / nullif(wins - 1, 0)))",
-        },
-        {
-            "burstiness": f"case when size(big) >= 200 then if(size(tracked) = 0, 0D, aggregate(tracked, 0D, (a, x) -> a + {value}) / size(tracked)) end",
-            "zipf_deviation": "case when v >= 50 then abs(slope + 1) end",
-            "hedge_ratio": f"transform(array(named_struct('h', size(filter(toks, w -> {listed('w', L.HEDGES)})), 'i', size(filter(toks, w -> {listed('w', L.INTENSIFIERS)})))), x -> case when x.i > 0 then x.h / x.i when x.h > 0 then 2D * x.h end)[0]",
-            "autocorrelation": f"case when size(lens) >= 5 then if({_sum('transform(dev, x -> x * x)')} < 1e-9, 0D, {_sum('zip_with(dev, slice(dev, 2, greatest(size(dev) - 1, 0)), (x, y) -> coalesce(x * y, 0D))')} / {_sum('transform(dev, x -> x * x)')}) end",
-            "pos_entropy": f"case when n >= 20 then {entropy(run_lengths('tri'))} end",
-            "diversity_length": f"case when n >= 400 then round({_pearson('ttrs', 'sent_means')}, 4) end",
-            "repetition_delta": "case when n >= 400 then if(size(content) < 20, 0D, abs((1 - size(array_distinct(halves[0])) / size(halves[0])) - (1 - size(array_distinct(halves[1])) / size(halves[1])))) end",
-            "passive_clustering": f"case when size(sb) >= 20 then {SPARK.sample_variance('chunks')} end",
-            "transition_density": f"case when n >= 200 then ({' + '.join(places('low', p) for p in L.TRANSITIONS)}) * 1000.0D / n end",
-            "paragraph_cv": f"case when size(paras) >= 4 then sqrt({SPARK.sample_variance('transform(para_words, b -> cast(size(b) as double))')}) / {SPARK.mean('transform(para_words, b -> cast(size(b) as double))')} end",
-            "opening_diversity": "case when size(sb) >= 10 then size(array_distinct(opens)) / size(sb) end",
-            "nested_clauses": "case when size(sb) >= 10 then size(filter(sb, s -> length(s) - length(replace(s, ',', '')) >= 2)) / size(sb) end",
-            "comma_splices": f"case when size(sb) >= 10 then greatest(size(filter(transform(split(text, ','), p -> filter(split(p, '\\\\s+'), w -> w <> '')), w -> size(w) >= 3 and regexp_replace(lower(get(w, 0)), '[^\\\\p{{L}}]', '') IN ({SPARK.words(L.SPLICE_OPENERS)}))) - 1, 0) / size(sb) end",
-            "sophistication_slope": "case when n >= 200 then (aggregate(slice(toks, 3 * (n div 4) + 1, n div 4), 0D, (a, w) -> a + octet_length(w)) - aggregate(slice(toks, 1, n div 4), 0D, (a, w) -> a + octet_length(w))) / (n div 4) / 3 end",
-            "register_consistency": f"case when size(paras) >= 3 then if(size(levels) < 3, 0D, {SPARK.sample_variance('levels')}) end",
-            "initial_adverbs": "case when size(sb) >= 10 then size(filter(opens, w -> w like '%ly' and octet_length(w) > 3)) / size(sb) end",
-            "modal_density": f"case when n >= 200 then 1000.0D * size(filter(toks, w -> {listed('w', L.MODALS)})) / n end",
-            "punctuation_entropy": f"case when n >= 200 then if(size(marks) = 0, 0D, {entropy('marks')}) end",
-            "enumeration": f"case when size(sb) >= 10 then size(filter(sb, s -> {' or '.join(f'startswith(lower(s), {SPARK.text(m)}) or contains(lower(s), {SPARK.text(chr(44) + chr(32) + m)})' for m in L.ENUMERATIONS)})) / size(sb) end",
-            "overlaps": "if(size(paras) >= 3, transform(filter(sequence(1, size(paras) - 1), i -> size(get(para_sets, i - 1)) > 0 and size(get(para_sets, i)) > 0), i -> size(array_intersect(get(para_sets, i - 1), get(para_sets, i))) / size(array_union(get(para_sets, i - 1), get(para_sets, i)))), cast(array() as array<double>))",
-        },
-        {"paragraph_overlap": "case when size(paras) >= 3 then if(size(overlaps) = 0, 0D, aggregate(overlaps, 0D, (a, x) -> a + x) / size(overlaps)) end"},
-    ]
-
-
-def _pearson(x: str, y: str) -> str:
-    mean = lambda a: f"{_sum(a)} / nullif(size({a}), 0)"
-    co = _sum(f"zip_with({x}, {y}, (p, q) -> (p - m_.x) * (q - m_.y))")
-    vx, vy = (_sum(f"transform({a}, p -> (p - m_.{k}) * (p - m_.{k}))") for a, k in ((x, "x"), (y, "y")))
-    sums = let(f"named_struct('x', {mean(x)}, 'y', {mean(y)})", "m_", f"named_struct('co', {co} / nullif(size({x}), 0), 'sd', sqrt({vx} / nullif(size({x}), 0)) * sqrt({vy} / nullif(size({x}), 0)))")
-    return let(sums, "r_", "coalesce(if(r_.sd < 1e-12, 0D, r_.co / r_.sd), 0D)")
-
-
-NAMES = [k for layer in layers()[-2:] for k in layer if k != "overlaps"]
-
-
 def features(docs: DataFrame, *keys: str, delimiter: str = "\n\n") -> DataFrame:
     """DET-28, PAR-01: ``keys`` and one column for each scored feature, null where the text is too short for it."""
-    keys = keys or ("doc_id",)
-    text: Column = F.col("text")
-    rows = docs.select(*keys, F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.select("*", T.sentences(text).alias("sa"), T.sentences_b(text).alias("sb"), T.paragraphs(text, delimiter).alias("paras"))
-    for layer in layers():
-        rows = rows.select("*", *[F.expr(e).alias(k) for k, e in layer.items()])
-    return rows.select(*keys, *NAMES)
+    return K.mapped(docs, list(keys or ("doc_id",)), lambda text: [measures.features(text, delimiter)], FIELDS)
 
 
 def tagged(docs: DataFrame) -> DataFrame:

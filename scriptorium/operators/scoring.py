@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import kernels as K
 from scriptorium.functions import lexicons as L
 from scriptorium.functions import text as T
 from scriptorium.functions.dialect import SPARK
 from scriptorium.operators import countermeasures as M
 from scriptorium.operators import detection as D
 from scriptorium.operators import fused as U
+from scriptorium.operators import measures
 from scriptorium.operators import register as R
 from scriptorium.operators.profiles import half_away, r6
 
@@ -57,10 +60,10 @@ def logistic(x: Column, centre: Column | float, steepness: Column | float) -> Co
 
 def gated(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
     """FLT-01: documents of ``words`` white-space words or more."""
-    return docs.where(F.size(T.ws_words(F.col("text"))) >= words)
+    return docs.where((F.octet_length("text") >= 2 * words - 1) & (F.regexp_count("text", F.lit(r"\S+")) >= words))
 
 
-def rounded(features: DataFrame, *keys: str) -> DataFrame:
+def rounded(features: DataFrame, *keys: str | Column) -> DataFrame:
     return features.select(*keys, *[half_away(F.col(n), 6).alias(n) for n in U.NAMES])
 
 
@@ -93,9 +96,11 @@ def detect(docs: DataFrame) -> DataFrame:
     enough = F.col("detected") & (F.size(T.ws_words(F.col("scorable"))) >= MIN_WORDS)
     text = F.when(enough, F.col("scorable")).otherwise(F.col("text"))
     chosen = template.select("doc_id", F.col("text").alias("original"), text.alias("chosen")).withColumn("text", F.col("chosen"))
-    scored = rounded(U.features(chosen, "doc_id", "original", "chosen"), "doc_id", "original", "chosen")
-    rows = scored.select("doc_id", "original", F.col("chosen").alias("text"), F.expr(score_sql()).alias("raw"), F.expr(used_sql()).alias("used"))
-    rows = M.applied(rows, [*R.feature_layers(d), *R.rule_layers(d)]).select("doc_id", F.col("original").alias("text"), "raw", "used", "label", "register_adjustment")
+    register = {f"r_{n}": kind for n, kind in R.FIELDS.items()}
+    measured = K.mapped(chosen, ["doc_id", "original"], lambda text: [(*measures.features(text), *measures.register(text))], {**U.FIELDS, **register})
+    scored = rounded(measured, "doc_id", "original", *register)
+    rows = scored.select("doc_id", "original", F.expr(score_sql()).alias("raw"), F.expr(used_sql()).alias("used"), *[F.col(r).alias(r[2:]) for r in register])
+    rows = M.applied(rows, [*R.feature_layers(d)[3:], *R.rule_layers(d)]).select("doc_id", F.col("original").alias("text"), "raw", "used", "label", "register_adjustment")
     kept = ["doc_id", "text", "raw", "used", "label", "register_adjustment"]
     for make, column in ((M.nnes, "nnes_adjustment"), (M.editing, "editing_adjustment"), (M.humanizer, "humanizer_adjustment")):
         kept.append(column)
@@ -103,18 +108,20 @@ def detect(docs: DataFrame) -> DataFrame:
     zero, one = F.lit(0.0), F.lit(1.0)
     within = lambda x: F.least(F.greatest(x, zero), one)
     double = lambda c: F.col(c).cast("double")
-    measures = double("nnes_adjustment") + double("editing_adjustment") + double("humanizer_adjustment")
-    rows = rows.withColumn("measures", measures).withColumn("score", F.round(within(within(F.col("raw") + double("register_adjustment")) + F.col("measures")), 5))
+    adjusted = double("nnes_adjustment") + double("editing_adjustment") + double("humanizer_adjustment")
+    rows = rows.withColumn("measures", adjusted).withColumn("score", F.round(within(within(F.col("raw") + double("register_adjustment")) + F.col("measures")), 5))
     unsure = (F.col("used") < 5) & (F.col("score") > 0.15) & (F.col("score") < 0.85)
     return rows.select("doc_id", F.col("used").cast("long").alias("used"), F.round("raw", 5).alias("raw"), "label", F.round("measures", 5).alias("measures"), "score", F.round(F.least(F.col("used") / 7.0, one), 5).alias("confidence"), F.when(unsure, "INCONCLUSIVE").otherwise(tier(F.col("score"), 1)).alias("tier"))
 
 
 def heatmap(docs: DataFrame) -> DataFrame:
     """SCO-11, TOK-15: score of every window of 300 words, 75 apart. A window's text is its words joined, so sentence features vanish."""
-    words = gated(docs).select("doc_id", F.expr(SPARK.cased_tokens("text")).alias("w")).where(F.size("w") >= HEAT_SIZE)
-    at = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size(w) - {HEAT_SIZE}) div {HEAT_STEP}").cast("long"))).alias("win"))
-    texts = at.select("doc_id", "win", F.array_join(F.slice("w", (F.col("win") * HEAT_STEP + 1).cast("int"), HEAT_SIZE), " ").alias("text"))
-    scored = rounded(U.features(texts, "doc_id", "win"), "doc_id", "win")
+
+    def windows(text: str) -> list[tuple]:
+        words = K.cased_tokens(text)
+        return [(win, *measures.features(part)) for win, part in measures.windows(words, HEAT_SIZE, HEAT_STEP)] if len(words) >= HEAT_SIZE else []
+
+    scored = rounded(K.mapped(gated(docs), ["doc_id"], windows, {"win": pa.int64(), **U.FIELDS}), "doc_id", "win")
     return scored.select("doc_id", "win", (F.col("win") * HEAT_STEP).alias("word_start"), (F.col("win") * HEAT_STEP + HEAT_SIZE).alias("word_end"), F.expr(used_sql()).cast("long").alias("features"), half_away(F.expr(score_sql()), 4).alias("score"))
 
 
@@ -178,7 +185,7 @@ def multimode(docs: DataFrame) -> DataFrame:
 
 def feature_csv(docs: DataFrame, path: str) -> None:
     """SNK-02: label, source, word_count and the features with eight decimals, as CSV with a header."""
-    words = docs.select(F.col("doc_id").alias("source_id"), F.col("source").alias("label"), F.size(T.ws_words(F.col("text"))).alias("word_count"))
-    rows = features(docs).join(words, F.col("doc_id") == F.col("source_id"))
+    counted = K.mapped(gated(docs), ["doc_id", "source"], lambda text: [(len(K.splitter(text)(text)), *measures.features(text))], {"word_count": pa.int64(), **U.FIELDS})
+    rows = rounded(counted, "doc_id", F.col("source").alias("label"), "word_count")
     decimals = [F.format_string("%.8f", F.coalesce(n, F.lit(0.0))).alias(n) for n in U.NAMES]
     rows.select("label", F.col("doc_id").alias("source"), "word_count", *decimals).write.option("header", "true").csv(path)
