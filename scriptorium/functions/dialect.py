@@ -28,6 +28,10 @@ class Spark:
     def words(self, values: list[str]) -> str:
         return ", ".join(map(self.text, values))
 
+    def pattern(self, regex: str) -> str:
+        """A word's edge counts ASCII letters, digits and _ only, as in the checking database; the engine's own sees other letters too."""
+        return self.text(regex.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"))
+
     def filter(self, array: str, name: str, test: str) -> str:
         return f"filter({array}, {name} -> {test})"
 
@@ -61,13 +65,13 @@ class Spark:
         return f"array_join({array}, {self.text(by)})"
 
     def matches(self, text: str, pattern: str) -> str:
-        return f"({text} rlike {self.text(pattern)})"
+        return f"({text} rlike {self.pattern(pattern)})"
 
     def replace(self, text: str, pattern: str, by: str = "") -> str:
-        return f"regexp_replace({text}, {self.text(pattern)}, {self.text(by)})"
+        return f"regexp_replace({text}, {self.pattern(pattern)}, {self.text(by)})"
 
     def split(self, text: str, pattern: str) -> str:
-        return f"split({text}, {self.text(pattern)})"
+        return f"split({text}, {self.pattern(pattern)})"
 
     def tokens(self, text: str) -> str:
         return self.filter(f"regexp_extract_all(lower({text}), {self.text(WORD)}, 0)", "t_", self.matches("t_", r"[\p{L}\p{N}]"))

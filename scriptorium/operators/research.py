@@ -50,7 +50,7 @@ TRANSLATED = [r"\b(?:it\s+is\s+that|there\s+is\s+a\s+fact)\b", r"\bthe\s+\w+\s+o
 
 def found(d: Dialect, text: str, pattern: str) -> str:
     """How often a pattern matches."""
-    return f"size(regexp_extract_all({text}, {d.text(pattern)}, 0))" if d.name == "spark" else f"len(regexp_extract_all({text}, {d.text(pattern)}))"
+    return f"size(regexp_extract_all({text}, {d.pattern(pattern)}, 0))" if d.name == "spark" else f"len(regexp_extract_all({text}, {d.text(pattern)}))"
 
 
 def of(d: Dialect, words: str, listed: list[str]) -> str:

@@ -91,3 +91,16 @@ def test_change_points():
         scores = {k: by_hand(k) for k in range(2, len(v) - 1)}
         assert score == pytest.approx(max(scores.values())) and scores[cut] == pytest.approx(score)
     assert I.change_points(np.ones((8, 3))) == [] and I.change_points(v[:1]) == []
+
+
+def test_word_edges_are_those_of_the_checking_sql(spark):
+    from compare import oracle
+
+    from scriptorium.operators import research
+    from scriptorium.plans.catalogue import oracle_sql
+
+    texts = ["é the a cat", "naïve the ancafé the a", "a the cat in the morning", "été is going from la the theé"]
+    con = oracle("/root/testdata/sf0.001")
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT unnest(range(4)) AS doc_id, unnest($1) AS text".replace("$1", "[" + ", ".join(f"'{t}'" for t in texts) + "]"))
+    want = sorted(con.execute(oracle_sql()["res_07"]).df()[["doc_id", "traces"]].itertuples(index=False, name=None))
+    assert sorted((r["doc_id"], r["traces"]) for r in research.report(docs(spark, texts), "first_language").collect()) == want
