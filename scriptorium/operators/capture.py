@@ -3,8 +3,10 @@ error undoes, view is a change of focus; value counts characters."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -75,12 +77,39 @@ def hourly(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def _snapshots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(user_id, old, new) of events sorted by user and event: sums of the values before and after, in order; null where there are none."""
+    user, begun, sums = None, False, [None, None]
+    for batch in it:
+        done: list[tuple] = []
+        for who, late, value in zip(*(batch.column(c).to_pylist() for c in ("user_id", "late", "value")), strict=True):
+            if who != user or not begun:
+                if begun:
+                    done.append((user, *sums))
+                user, begun, sums = who, True, [None, None]
+            if value is not None:
+                sums[late] = value if sums[late] is None else sums[late] + value
+        yield _sums(done, batch.schema.field("user_id").type)
+        kind = batch.schema.field("user_id").type
+    if begun:
+        yield _sums([(user, *sums)], kind)
+
+
+def _sums(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, pa.float64(), pa.float64()))], ["user_id", "old", "new"])
+
+
 def snapshot_diff(events: DataFrame) -> DataFrame:
-    """STR-05, JOI-06: full outer comparison of two snapshots: each user's total before and from 16 January on."""
-    half = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
-    size = lambda c: events.where(c).groupBy("user_id").agg(F.floor(F.sum("value")).alias("size"))
-    old, new = size(half).withColumnRenamed("size", "old"), size(~half).withColumnRenamed("size", "new")
-    both = old.join(new, "user_id", "full_outer")
+    """STR-05, JOI-06: full outer comparison of two snapshots: each user's total before and from 16 January on.
+
+    Values are added in the events' order: a total that is a whole number falls to either side of it with the order of its terms. A task streams
+    over its sorted events, so that it holds two totals, however many events a user has.
+    """
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    rows = events.where("ts is not null").select("user_id", "event_id", late.alias("late"), F.col("value").cast("double").alias("value"))
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "event_id").drop("event_id")
+    totals = rows.mapInArrow(_snapshots, f"user_id {events.schema['user_id'].dataType.simpleString()}, old double, new double")
+    both = totals.select("user_id", F.floor("old").alias("old"), F.floor("new").alias("new"))
     kind = F.when(F.col("old").isNull(), F.when(F.col("new") > 5000, "paste").otherwise("new")).when(F.col("new").isNull(), "deleted").when(F.col("new") - F.col("old") > 2000, "paste").when(F.col("new") > F.col("old"), "grown").when(F.col("new") < F.col("old"), "delete").otherwise("same")
     return both.select("user_id", "old", "new", kind.alias("change"))
 

@@ -104,3 +104,22 @@ def test_word_edges_are_those_of_the_checking_sql(spark):
     con.execute("CREATE OR REPLACE VIEW documents AS SELECT unnest(range(4)) AS doc_id, unnest($1) AS text".replace("$1", "[" + ", ".join(f"'{t}'" for t in texts) + "]"))
     want = sorted(con.execute(oracle_sql()["res_07"]).df()[["doc_id", "traces"]].itertuples(index=False, name=None))
     assert sorted((r["doc_id"], r["traces"]) for r in research.report(docs(spark, texts), "first_language").collect()) == want
+
+
+def test_snapshots_add_in_the_order_of_events(spark):
+    from scriptorium.operators.capture import snapshot_diff
+
+    values = [0.1, 0.7, 0.2, 1e16, 3.0, -1e16, 0.3, 0.4, 0.6] * 3
+    when = ["2024-01-02 00:00:00", "2024-01-20 00:00:00"]
+    rows = [(100 * u + i, when[u % 2 if u else i % 2], u, v) for u in range(3) for i, v in enumerate(values)]
+    events = spark.createDataFrame(rows[::-1], "event_id long, ts string, user_id long, value double").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "value")
+
+    def total(some):
+        out = 0.0
+        for x in some:
+            out += x
+        return int(out // 1)
+
+    want = {0: (total(values[::2]), total(values[1::2])), 1: (None, total(values)), 2: (total(values), None)}
+    for parts in (1, 7):
+        assert {r["user_id"]: (r["old"], r["new"]) for r in snapshot_diff(events.repartition(parts, "event_id")).collect()} == want
