@@ -36,6 +36,8 @@ _KIND = _ranges()
 _L, _M, _N = (_KIND[k] for k in "LMN")
 _WORD = re.compile(rf"(?:[{_L}][{_L}{_M}]*(?:['’.:·][{_L}][{_L}{_M}]*)*|[{_N}]+(?:['’.,;][{_N}]+)*|_)+")
 _ASCII_WORD = re.compile(r"[A-Za-z0-9_]+(?:(?:(?<=[A-Za-z])['.:](?=[A-Za-z])|(?<=[0-9])['.,;](?=[0-9]))[A-Za-z0-9_]+)*")
+#: Upper-case letters, as the inside of a set.
+UPPER = "".join(c for c in map(chr, (*range(0x2000), *range(0x2100, 0x2E00), *range(0xA640, 0xA800), *range(0xFF00, 0xFFF0), *range(0x10400, 0x1F000))) if unicodedata.category(c) == "Lu")
 _LETTER = re.compile(f"[{_L}]")
 _SPACES, _WS = re.compile(f"[{SPACE}]+"), re.compile(f"[^{SPACE}]+")
 

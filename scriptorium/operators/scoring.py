@@ -88,23 +88,19 @@ def composite(docs: DataFrame) -> DataFrame:
 def detect(docs: DataFrame) -> DataFrame:
     """SCO-03, 09, 10: the detector. Boilerplate is left out if enough text remains; register and countermeasures adjust the score.
 
-    The features of one text are one projection; the countermeasures read the original text, the score the chosen one.
+    A kernel reads each text once; the countermeasures read the original text, the score the chosen one.
     """
-    d = SPARK
-    long = gated(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    template = M.applied(long, M.template(d))
-    enough = F.col("detected") & (F.size(T.ws_words(F.col("scorable"))) >= MIN_WORDS)
-    text = F.when(enough, F.col("scorable")).otherwise(F.col("text"))
-    chosen = template.select("doc_id", F.col("text").alias("original"), text.alias("chosen")).withColumn("text", F.col("chosen"))
+    adjusting = ("nnes_adjustment", "editing_adjustment", "humanizer_adjustment")
+
+    def measure(text: str) -> list[tuple]:
+        scored = measures.chosen(text, MIN_WORDS)
+        return [(*measures.features(scored), *measures.register(scored), *measures.adjustments(text))]
+
     register = {f"r_{n}": kind for n, kind in R.FIELDS.items()}
-    measured = K.mapped(chosen, ["doc_id", "original"], lambda text: [(*measures.features(text), *measures.register(text))], {**U.FIELDS, **register})
-    scored = rounded(measured, "doc_id", "original", *register)
-    rows = scored.select("doc_id", "original", F.expr(score_sql()).alias("raw"), F.expr(used_sql()).alias("used"), *[F.col(r).alias(r[2:]) for r in register])
-    rows = M.applied(rows, [*R.feature_layers(d)[3:], *R.rule_layers(d)]).select("doc_id", F.col("original").alias("text"), "raw", "used", "label", "register_adjustment")
-    kept = ["doc_id", "text", "raw", "used", "label", "register_adjustment"]
-    for make, column in ((M.nnes, "nnes_adjustment"), (M.editing, "editing_adjustment"), (M.humanizer, "humanizer_adjustment")):
-        kept.append(column)
-        rows = M.applied(rows, make(d)).select(*kept)
+    measured = K.mapped(gated(docs), ["doc_id"], measure, {**U.FIELDS, **register, **dict.fromkeys(adjusting, pa.float64())})
+    scored = rounded(measured, "doc_id", *register, *adjusting)
+    rows = scored.select("doc_id", F.expr(score_sql()).alias("raw"), F.expr(used_sql()).alias("used"), *adjusting, *[F.col(r).alias(r[2:]) for r in register])
+    rows = M.applied(rows, [*R.feature_layers(SPARK)[3:], *R.rule_layers(SPARK)])
     zero, one = F.lit(0.0), F.lit(1.0)
     within = lambda x: F.least(F.greatest(x, zero), one)
     double = lambda c: F.col(c).cast("double")

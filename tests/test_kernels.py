@@ -39,4 +39,21 @@ def test_lower_case_and_white_space_are_the_sql_ones(spark):
 def test_texts_are_read_in_kernels(spark, sf_dir, key):
     plan = catalogue.queries()[key](spark, sf_dir)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan or "scriptorium/" in plan  # the kernel, or the table that it wrote
-    assert r"\p{M}" not in plan or key in ("sco_10", "sco_12")  # whose countermeasures are expressions
+    assert r"\p{M}" not in plan
+
+
+def test_the_detector_adjusts_as_the_countermeasures_report(spark, sf_dir):
+    from scriptorium.operators import countermeasures as M
+    from scriptorium.operators import measures
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    texts |= {10**6 + i: t for i, t in enumerate(TEXTS)}
+    body = "We walked along the river and talked about a apple from Berlin. " * 60
+    texts[10**7] = "\n\n".join(["The parties hereby agree, pursuant to the law. " * 12, body, "[1] A. Book\n[2] B. Book\n[3] C. Book", "Best regards,\nAnn"])
+    frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").cache()
+    want = {r["doc_id"]: r["scorable"] if r["detected"] and len(r["scorable"].split()) >= 500 else texts[r["doc_id"]] for r in M.stripped(frame).collect()}
+    assert {i: measures.chosen(t, 500) for i, t in texts.items()} == want and want[10**7] == body.strip()
+    for place, name in enumerate(("nnes", "editing", "humanizer")):
+        want = {r["doc_id"]: float(r[1]) for r in M.report(frame, name).select("doc_id", f"{name}_adjustment").collect()}
+        assert {i: measures.adjustments(t)[place] for i, t in texts.items()} == want
